@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, sharding, token_frames
+from . import common, sharding, simhash, token_frames
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), tau=4, width=4)
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +23,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_output, op9_sharding)}
+    return {f.__name__: f for f in (op2_simhash, op7_token_output, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
