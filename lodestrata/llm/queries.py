@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, sharding, simhash, token_frames
+from . import common, decontaminate, sharding, simhash, token_frames
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(common.table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op7_token_output, op9_sharding)}
+    return {f.__name__: f for f in (op2_simhash, op7_token_output, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
