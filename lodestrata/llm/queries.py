@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, language_id, sharding, simhash, token_frames
+from . import common, decontaminate, language_id, quality, sharding, simhash, token_frames
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_output(docs, common.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(common.table(spark, sf_dir, "documents"), shards=8)
 
@@ -31,7 +35,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_language_id, op7_token_output, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op2_simhash, op5_language_id, op7_token_output, op8_quality, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
