@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, language_id, quality, sharding, simhash, token_frames
+from . import common, decontaminate, language_id, piece_transducer, quality, sharding, simhash, token_frames
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(common.table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.sentencepiece(common.table(spark, sf_dir, "documents"), common.tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return token_frames.token_output(docs, common.tokenizer_path("byte_bpe_50k.json"))
@@ -35,7 +39,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_language_id, op7_token_output, op8_quality, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op2_simhash, op5_language_id, op6_sentencepiece, op7_token_output, op8_quality, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
