@@ -28,6 +28,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +95,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
+@dataclass
+class Hits:
+    counted: DataFrame  # doc_id, text_key, n_words of every row
+    hits: DataFrame  # doc_id, text_key, n, at, window: every occurrence of an item's window
+    item_windows: DataFrame  # item_id, n, window
+    n_windows: int
+    n_candidates: int
+
+
+def find_hits(docs: DataFrame, items: DataFrame) -> Hits | None:
+    """Every window occurrence, or None if no item has a word."""
     bench = common.materialize(
         items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
         .where(F.size("words") > 0)
@@ -103,26 +114,21 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         "bench-words",
     )
     lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # 1..WINDOW
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("text_key"),
-        words_of(F.col("text")).alias("words"),
-    )
     if not lengths:
-        return base.select("doc_id", F.size("words").cast("long").alias("n_words"), *_answer(F.lit(None), F.lit(None)))
-    item_windows = None
+        return None
+    base = keyed_words(docs)
+    item_windows = item_marks = None
     for n in lengths:
-        own = bench.where(F.col("n") == n).select("item_id", "n", F.explode(windows(F.col("words"), n)).alias("w")).select("item_id", "n", "w.window")
-        item_windows = own if item_windows is None else item_windows.unionByName(own)
+        own = bench.where(F.col("n") == n)
+        w = own.select("item_id", "n", F.explode(windows(F.col("words"), n)).alias("w")).select("item_id", "n", "w.window")
+        m = marks(own, "words", [n], []).select(F.explode("_marks").alias("mark"))
+        item_windows = w if item_windows is None else item_windows.unionByName(w)
+        item_marks = m if item_marks is None else item_marks.unionByName(m)
     item_windows = common.materialize(item_windows.distinct(), "bench-windows")
     n_windows = item_windows.count()
-    item_marks = None
-    for n in lengths:
-        own = marks(bench.where(F.col("n") == n), "words", [n], []).select(F.explode("_marks").alias("mark"))
-        item_marks = own if item_marks is None else item_marks.unionByName(own)
     item_marks = item_marks.distinct().withColumn("found", F.lit(True))
 
-    # All documents: word counts and the marks that any item has.
+    # All documents: word counts and whether any mark is an item's.
     keyed = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "words")
     counted = (
         marks(keyed, "words", lengths, ["row", "doc_id", "text_key", "n_words"])
@@ -133,38 +139,67 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         .drop("row")
     )
     counted = common.materialize(counted, "word-counts")
-    candidates = counted.where("maybe").select("doc_id", "text_key").distinct()
     n_candidates = counted.where("maybe").count()
 
     # Candidates only: extend to whole windows, word for word.
-    wanted = _small(candidates.withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"}), n_candidates)
-    texts = (
-        base.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left_semi")
-        .dropDuplicates(["doc_id", "text_key"])
-    )
+    texts = keyed_words(docs, counted.where("maybe"), n_candidates).dropDuplicates(["doc_id", "text_key"])
     known = _small(item_windows.select("n", "window").distinct(), n_windows)
     hits = None
     for n in lengths:
         own = texts.select("doc_id", "text_key", F.lit(n).alias("n"), F.explode(windows(F.col("words"), n)).alias("w")).select("doc_id", "text_key", "n", "w.at", "w.window")
         hits = own if hits is None else hits.unionByName(own)
     hits = common.materialize(hits.join(known, ["n", "window"], "left_semi"), "window-hits")
-    spans = hits.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("spans")
-    ).select("doc_id", "text_key", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("hit"))
+    return Hits(counted, hits, item_windows, n_windows, n_candidates)
+
+
+def keyed_words(docs: DataFrame, only: DataFrame | None = None, n_only: int = 0) -> DataFrame:
+    """doc_id, text_key, words; with ``only``, of the rows whose keys it lists."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    if only is not None:
+        rows = _matching(rows, only, n_only, "left_semi")
+    return rows.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
+
+
+def _matching(rows: DataFrame, keys: DataFrame, n_keys: int, how: str) -> DataFrame:
+    wanted = _small(keys.select(F.col("doc_id").alias("_c_id"), F.col("text_key").alias("_c_key")).distinct(), n_keys)
+    return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_c_id")) & (F.col("text_key") == F.col("_c_key")), how)
+
+
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
+    found = find_hits(docs, items)
+    if found is None:
+        return keyed_words(docs).select("doc_id", F.size("words").cast("long").alias("n_words"), *_answer(F.lit(None), F.lit(None)))
+    hits = found.hits
+    spans = (
+        hits.groupBy("doc_id", "text_key")
+        .agg(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("spans"))
+        .select("doc_id", "text_key", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("hit"))
+    )
     named = (
-        hits.select("doc_id", "text_key", "n", "window").distinct()
-        .join(_small(item_windows, n_windows), ["n", "window"])
+        hits.select("doc_id", "text_key", "n", "window")
+        .distinct()
+        .join(_small(found.item_windows, found.n_windows), ["n", "window"])
         .groupBy("doc_id", "text_key")
         .agg(F.collect_set("item_id").alias("items"))
     )
     results = spans.join(named, [spans.doc_id.eqNullSafe(named.doc_id), spans.text_key == named.text_key]).select(
         spans.doc_id.alias("r_id"), spans.text_key.alias("r_key"), "hit", "items"
     )
-    return counted.join(results, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")), "left").select(
+    return found.counted.join(results, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")), "left").select(
         "doc_id", "n_words", *_answer(F.col("hit"), F.col("items"))
     )
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item, with their columns as they are."""
+    found = find_hits(docs, items)
+    if found is None:
+        return docs
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    return _matching(rows, found.hits, found.n_candidates, "left_anti").select("_row.*")
+
+
 def _answer(hit: Column, items: Column) -> list[Column]:
     names = F.coalesce(items.cast("array<string>"), F.array().cast("array<string>"))
     n_hit = F.coalesce(hit.cast("long"), F.lit(0).cast("long"))

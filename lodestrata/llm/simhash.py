@@ -66,15 +66,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id long, fp long (the fingerprint's bits as a signed long)."""
+    """doc_id long, row long (passed on, or null), fp long (the fingerprint's bits as a signed long)."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    row = F.col("row").cast("long") if "row" in docs.columns else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -382,12 +383,33 @@ def near_edges(classes: DataFrame, tau: int, partitions: int | None = None) -> D
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, tau: int = 4, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable) for every row."""
-    prints = common.materialize(fingerprints(docs, width), "fingerprints")
+def classes_and_components(prints: DataFrame, tau: int) -> DataFrame:
+    """fp, rep (smallest id with it) and component (smallest fingerprint reachable, as a long) per distinct fingerprint."""
     classes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     nodes = connected_components(near_edges(classes, tau))
-    labelled = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    return classes.join(nodes, classes.fp == nodes.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, tau: int = 4, width: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable) for every row."""
+    prints = common.materialize(fingerprints(docs, width).drop("row"), "fingerprints")
+    labelled = classes_and_components(prints, tau)
     smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     answer = labelled.join(smallest, "component").select("fp", "component_id")
     return prints.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, tau: int = 4, width: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays."""
+    numbered = common.materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "numbered")
+    prints = common.materialize(
+        fingerprints(numbered.select("_doc.doc_id", "_doc.text", F.col("_row").alias("row")), width), "fingerprints"
+    )
+    answer = classes_and_components(prints, tau).select("fp", "component")
+    # A struct compares field by field: known ids before null ones, small ids first, then the row number.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
+    per_class = prints.groupBy("fp").agg(first)
+    kept = per_class.join(answer, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return numbered.join(kept.hint("shuffle_hash"), "_row", "left_semi").select("_doc.*")
+
+
