@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, language_id, piece_transducer, quality, sharding, simhash, token_frames
+from . import common, decontaminate, language_id, language_model, piece_transducer, quality, sharding, simhash, token_frames
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), tau=4, width=4)
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(common.table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_language_id, op6_sentencepiece, op7_token_output, op8_quality, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op2_simhash, op4_language_model, op5_language_id, op6_sentencepiece, op7_token_output, op8_quality, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
