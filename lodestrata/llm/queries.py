@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, language_id, language_model, piece_transducer, quality, sharding, simhash, token_frames
+from . import common, decontaminate, language_id, language_model, licence_scan, piece_transducer, quality, sharding, simhash, token_frames, topk
+
+
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(common.table(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), tau=4, width=4)
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(common.table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(common.table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_language_model, op5_language_id, op6_sentencepiece, op7_token_output, op8_quality, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_licence_scan, op2_simhash, op3_top_k, op4_language_model, op5_language_id, op6_sentencepiece, op7_token_output, op8_quality, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_top_k": topk.SQL}
