@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import relational, time_series  # noqa: F401
+from . import relational, retrieval, time_series  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
