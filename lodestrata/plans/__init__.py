@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import relational, retrieval, text_mining, time_series  # noqa: F401
+from . import relational, retrieval, streaming, text_mining, time_series  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
