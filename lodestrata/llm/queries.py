@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.SQL}
+    return {"op3_top_k": topk.SQL, "op10_decontamination": decontaminate.SQL}
