@@ -40,8 +40,9 @@ SKIPPABLE_INDEX = 0x184D2A5D
 SKIPPABLE_SEEK = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 FRAME_BYTES = 1 << 20
-CACHE_ENTRIES = 400_000
-ODD_SPACE = re.compile(r"[^\S \n]|  |\n | \n|\A[ \n]")
+CACHE_ENTRIES = 600_000
+ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE_SPACE = [c for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
 NULL_ID = -(1 << 63)
 
 
@@ -51,13 +52,16 @@ def _process_cache() -> types.ModuleType:
 
 
 class Encoder:
-    """Encodes whole texts with the tokenizers library, one call per distinct space-delimited chunk.
+    """Encodes whole texts with the tokenizers library, each distinct space-delimited word once.
 
     The byte-level pre-tokenizer never joins a non-space character to a space
     that follows it, so a text may be cut before each single space that stands
     between two non-space characters; the ids of the parts, in order, are the
-    ids of the whole. Texts with any other white space (tabs, doubled spaces,
-    spaces beside line ends) are encoded whole.
+    ids of the whole. Unknown words are encoded together, as one text, and the
+    byte length of every id tells where one word's ids end. Texts with other
+    white space (tabs, doubled spaces, spaces beside line ends) or the text of a
+    special token are encoded whole. Words are kept in two generations of
+    ``CACHE_ENTRIES``, so memory stays bounded and frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -66,37 +70,86 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        alphabet = byte_alphabet()
+        size = self.tokenizer.get_vocab_size()
+        pieces = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.byte_length = np.array([len(x) if all(c in alphabet for c in x) else len(x.encode()) for x in pieces], np.int64)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Adds the ids of " word" for words that the newer generation lacks."""
+        fresh = []
+        for w in words:
+            ids = self.older.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                self.words[w] = ids
+        for lo in range(0, len(fresh), 20_000):
+            part = fresh[lo : lo + 20_000]
+            raw = self._encode([" " + " ".join(part)])[0]
+            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in part), np.int64, len(part)))
+            reached = np.cumsum(self.byte_length[np.frombuffer(raw, "<u4")])
+            cuts = np.searchsorted(reached, ends) + 1
+            if not np.array_equal(reached[cuts - 1], ends):
+                raise ValueError("ids do not end where words end")
+            at = 0
+            for w, cut in zip(part, (4 * cuts).tolist(), strict=True):
+                self.words[w] = raw[at:cut]
+                at = cut
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > CACHE_ENTRIES:  # before the lookups below, which count on what stays
+            self.words, self.older = {}, self.words
         out: list[bytes | None] = [None] * len(texts)
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache = self.cache
         whole: list[int] = []
         parts: list[tuple[int, list[str]]] = []
-        new: dict[str, None] = {}
         for i, text in enumerate(texts):
-            if ODD_SPACE.search(text) or any(s in text for s in self.special):
+            if odd_space(text) or any(s in text for s in self.special):
                 whole.append(i)
-                continue
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + x for x in rest]]
-            new.update(dict.fromkeys(c for c in chunks if c not in cache))
-            parts.append((i, chunks))
-        if new:
-            cache.update(zip(new, self._encode(list(new)), strict=True))
-        for i, chunks in parts:
-            out[i] = b"".join([cache[c] for c in chunks])
+            else:
+                parts.append((i, text.split(" ")))
+        needed: set[str] = set()
+        heads = []
+        for _, words in parts:
+            if words[0] not in self.heads:
+                heads.append(words[0])
+            needed.update(words)
+        self._learn([w for w in needed if w and w not in self.words])
+        if len(self.heads) > CACHE_ENTRIES:
+            self.heads.clear()
+            heads = [words[0] for _, words in parts]
+        self.heads.update(zip(heads, self._encode(heads), strict=True))
+        get = self.words.__getitem__
+        for i, words in parts:
+            out[i] = self.heads[words[0]] + b"".join(map(get, words[1:]))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out  # type: ignore[return-value]
 
 
+def byte_alphabet() -> set[str]:
+    """The printable characters that stand for single bytes in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b) for b in shown} | {chr(256 + i) for i in range(len(hidden))}
+
+
+def odd_space(text: str) -> bool:
+    """Whether ``text`` has white space other than single spaces and line feeds between words."""
+    if text.startswith((" ", "\n")) or text.endswith(" ") or "  " in text or " \n" in text or "\n " in text:
+        return True
+    if any(c in text for c in ASCII_SPACE):
+        return True
+    return not text.isascii() and any(c in text for c in WIDE_SPACE)
+
+
 def encoder(path: str) -> Encoder:
     held = _process_cache().__dict__.setdefault("encoders", {})
     if path not in held:
@@ -236,8 +289,8 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: i
                 sink = target.open_output_stream(f"{name}.writing")
                 writer = FrameWriter(sink)
             encode = encoder(tokenizer)
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                piece = batch.slice(lo, 1024)
                 for d, ids in zip(piece.column("doc_id").to_pylist(), encode(piece.column("text").to_pylist()), strict=True):
                     writer.add(d, ids + end)
                     documents += 1
