@@ -24,6 +24,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 SALTS = 64
 SLOT_BUCKETS = 512
 
@@ -75,18 +77,23 @@ def _running(taken: list[int]) -> list[int]:
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     spark = docs.sparkSession
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(F.sha2(F.col("text"), 256), F.lit("null")).alias("group_key"),
+    # Each step is written once, so texts are read once and no stage holds more than one join.
+    rows = common.materialize(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long").alias("size"),
+            F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+            F.coalesce(F.unhex(F.sha2(F.col("text"), 256)), F.lit("null").cast("binary")).alias("group_key"),
+        ),
+        "shard-rows",
     )
-    groups = (
+    groups = common.materialize(
         rows.groupBy("group_key")
         .agg(F.sum("size").alias("group_size"))
-        .withColumn("salt", F.pmod(F.xxhash64("group_key"), F.lit(SALTS)).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("group_key"), F.lit(SALTS)).cast("int")),
+        "shard-groups",
     )
-    histogram = groups.groupBy("group_size", "salt").agg(F.count(F.lit(1)).alias("n"))
+    histogram = common.materialize(groups.groupBy("group_size", "salt").agg(F.count(F.lit(1)).alias("n")), "shard-sizes")
     sizes = histogram.groupBy("group_size").agg(F.sum("n").alias("n")).collect()
     plan = [
         (int(size), _running(taken))
@@ -98,19 +105,21 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         "group_size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     ).join(plan_df, "group_size")
     in_class = Window.partitionBy("group_size", "salt").orderBy("group_key")
-    placed = (
+    placed = common.materialize(
         groups.withColumn("rank", F.row_number().over(in_class))
         .join(classes, ["group_size", "salt"])
         .select(
             "group_key",
             F.size(F.filter("upto", lambda u: u < F.col("offset") + F.col("rank"))).alias("shard"),
-        )
+        ),
+        "shard-placed",
     )
     # Slots: ids are dealt to buckets inside a shard; the small bucket counts give each bucket its offset.
-    dealt = (
+    dealt = common.materialize(
         rows.join(placed, "group_key")
         .drop("group_key")
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS)).cast("int")),
+        "shard-dealt",
     )
     counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     up_to = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
