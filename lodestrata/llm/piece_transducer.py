@@ -17,7 +17,8 @@ for every prefix as well; so one state per position stays live.
 No piece holds a word-start mark after another character (checked when the
 model is compiled), so each path passes through every word boundary and words
 are composed one by one, each distinct word once, kept in two bounded
-generations. Decoding writes the pieces' bytes and undoes the marks.
+generations; the same holds between any two characters that no piece holds
+side by side. Decoding writes the pieces' bytes and undoes the marks.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 a text with the mark itself decodes to a space there; repeated rows and ids are
@@ -78,6 +79,7 @@ class Transducer:
                 self.score[piece] = sp.get_score(i)
                 self.piece_bytes[i] = piece.replace(MARK, " ").encode()
         self.unknown = sp.unk_id()
+        self.joined = {pair for p in ids for pair in zip(p, p[1:], strict=False)}
         self.by_word = not any(MARK in p.lstrip(MARK) for p in ids)
         # Lexicon: every prefix of a piece, with the piece's id where one ends; a piece must be its own merge result.
         self.lexicon: dict[str, int] = {}
@@ -127,42 +129,89 @@ class Transducer:
 
     def shortest_path(self, text: str) -> list[str]:
         """Pieces of the path of least weight through ``text`` (already normalised); unknown characters stand alone."""
+        return self._least_sum(text) if self.unigram else self._finite_path(text)
+
+    def _arcs(self, text: str, at: int) -> list[str]:
+        """The pieces that start at ``at``, short to long; a character without a piece is an arc to byte fallback."""
+        first = text[at]
+        lexicon = self.lexicon
+        found = lexicon.get(first)
+        out = [first]
+        if found is None:
+            return out
+        for e in range(at + 2, len(text) + 1):
+            piece = text[at:e]
+            found = lexicon.get(piece)
+            if found is None:
+                break
+            if found >= 0:
+                out.append(piece)
+        return out
+
+    def _least_sum(self, text: str) -> list[str]:
         n = len(text)
-        cost = [INFINITE] * (n + 1)
-        back: list[str] = [""] * (n + 1)
-        cost[0] = 0.0
-        lexicon, stable, unigram = self.lexicon, self.stable, self.unigram
+        cost, back = [0.0] + [INFINITE] * n, [""] * (n + 1)
         for j in range(n):
-            here = cost[j]
-            if here == INFINITE:
-                continue
-            last = back[j]
-            known = stable.get(last) if not unigram else None
-            e = j + 1
-            while e <= n:
-                piece = text[j:e]
-                found = lexicon.get(piece)
-                if found is None:
-                    if e > j + 1:
-                        break
-                    found = 0  # a character without a piece: byte fallback
-                elif found < 0 and e == j + 1 and piece not in self.ids:
-                    found = 0
-                if found >= 0:
-                    ok = known.get(piece) if known is not None else None
-                    total = here + (self.weight(last, piece) if ok is None else 1.0 if ok else INFINITE)
-                    if total < cost[e]:
-                        cost[e], back[e] = total, piece
-                e += 1
+            for piece in self._arcs(text, j):
+                total = cost[j] + self.weight("", piece)
+                if total < cost[j + len(piece)]:
+                    cost[j + len(piece)], back[j + len(piece)] = total, piece
         out = []
-        at = n
-        while at:
-            out.append(back[at])
-            at -= len(back[at])
+        while n:
+            out.append(back[n])
+            n -= len(back[n])
         return out[::-1]
 
+    def _finite_path(self, text: str) -> list[str]:
+        """One path at most has finite weight: search depth first, long arcs first, and never enter a dead position twice."""
+        n, at, last = len(text), 0, ""
+        path: list[str] = []
+        waiting: list[list[str]] = []
+        dead: set[int] = set()
+        todo = self._arcs(text, 0) if n else []
+        while at < n:
+            known = self.stable.get(last)
+            while todo:
+                piece = todo.pop()
+                if at + len(piece) in dead:
+                    continue
+                ok = known.get(piece) if known is not None else None
+                if ok or (ok is None and self.weight(last, piece) < INFINITE):
+                    path.append(piece)
+                    waiting.append(todo)
+                    at += len(piece)
+                    last = piece
+                    todo = self._arcs(text, at) if at < n else []
+                    break
+            else:
+                dead.add(at)
+                at -= len(path.pop())
+                last = path[-1] if path else ""
+                todo = waiting.pop()
+        return path
+
+    def cuts(self, text: str) -> list[str]:
+        """``text`` cut wherever no piece holds the two characters side by side: every path passes there."""
+        joined = self.joined
+        if all(map(joined.__contains__, zip(text, text[1:], strict=False))):
+            return [text]
+        out, at = [], 0
+        for i, pair in enumerate(zip(text, text[1:], strict=False), 1):
+            if pair not in joined:
+                out.append(text[at:i])
+                at = i
+        out.append(text[at:])
+        return out
+
     def _ids(self, text: str) -> bytes:
         out: list[int] = []
+        parts = self.cuts(text)
+        if len(parts) > 1:
+            for part in parts:
+                if part not in self.words:
+                    old = self.older.get(part)
+                    self.words[part] = self._ids(part) if old is None else old
+            return b"".join([self.words[part] for part in parts])
         for piece in self.shortest_path(text):
             i = self.ids.get(piece)
             if i is not None:
@@ -174,8 +223,6 @@ class Transducer:
         return np.array(out, "<i4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words, self.older = {}, self.words
         if self.n_stable > STABLE:
             self.stable, self.n_stable = {}, 0
         for w in words:
@@ -184,6 +231,8 @@ class Transducer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of every whole text."""
+        if len(self.words) > CACHE:  # before the lookups below, which count on what stays
+            self.words, self.older = {}, self.words
         split = []
         for text in texts:
             if not text:
