@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The stop words of lexical search.
@@ -24,12 +24,6 @@ def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
 
-def shingles(words: Column, n: int) -> Column:
-    """Distinct runs of ``n`` words, space-joined; none for shorter texts."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
-
-
 def sliding_chunks(words: Column, size: int, overlap: int) -> Column:
     """Runs of ``size`` words that share ``overlap`` words with the one before; the last one ends the text."""
     step = size - overlap
@@ -65,3 +59,29 @@ def normal_url(url: Column) -> Column:
     path = F.regexp_extract(url, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
     asked = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
     return F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), asked)
+
+
+def spread(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """One row per array element.
+
+    A plain explode makes the optimizer infer a filter on the array's size and push
+    it below the projections, where the array's own inputs would be computed again
+    for every element; the outer form with a filter on the element does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def shingle_rows(df: DataFrame, keep: list[str], words: str, n: int, name: str) -> DataFrame:
+    """Distinct runs of ``n`` words, space-joined, one row each; none for shorter texts.
+
+    Runs are joined by doubling, one array pass a step, so the cost grows with the
+    text's length and not with its square.
+    """
+    done, current = 1, words
+    while done < n:
+        step = min(done, n - done)
+        rest = F.greatest(F.size(current) - step, F.lit(0))
+        target = f"_{name}{done + step}"
+        df = df.withColumn(target, F.zip_with(F.slice(current, F.lit(1), rest), F.slice(current, F.lit(1 + step), rest), lambda x, y: F.concat_ws(" ", x, y)))
+        current, done = target, done + step
+    return spread(df.select(*keep, F.array_distinct(current).alias(f"_{name}")), keep, F.col(f"_{name}"), name)

@@ -127,17 +127,18 @@ _RUNS = "list_distinct(list_transform(generate_series(1, len(w) - {k}), lambda i
 f AS (SELECT run, min(doc_id) AS first FROM g GROUP BY run) SELECT doc_id, count(*) AS runs, count(*) FILTER (WHERE first < doc_id) AS known, count(*) FILTER (WHERE first < doc_id) > 0.2 * count(*) AS suppressed FROM g JOIN f USING (run) GROUP BY doc_id""")
 def passage_suppression(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", tx.plain_words(F.col("text")).alias("w"))
-    g = d.select("doc_id", F.explode(tx.shingles(F.col("w"), 8)).alias("run")).select("doc_id", F.xxhash64("run").alias("h"), "run")
-    # Only runs that several documents hold say anything; the smallest holder stands for the run.
-    f = g.groupBy("h", "run").agg(F.min("doc_id").alias("first"))
-    return g.join(f, ["h", "run"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("first") < F.col("doc_id")).alias("known")).withColumn("suppressed", F.col("known") > 0.2 * F.col("runs"))
+    g = tx.shingle_rows(d, ["doc_id"], "w", 8, "run").select("doc_id", F.xxhash64("run").alias("h"), F.xxhash64(F.lit("second"), "run").alias("h2"))
+    # The smallest holder stands for a run; 128 bits of hash travel in place of its words.
+    f = g.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
+    return g.join(f, ["h", "h2"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("first") < F.col("doc_id")).alias("known")).withColumn("suppressed", F.col("known") > 0.2 * F.col("runs"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), g AS (SELECT doc_id, unnest({_RUNS.format(k=11)}) AS run FROM d WHERE len(w) >= 12),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), bg AS (SELECT item_id, unnest({_RUNS.format(k=11)}) AS run FROM b WHERE len(w) >= 12)
 SELECT doc_id, count(DISTINCT item_id) AS items, count(DISTINCT run) AS runs FROM g JOIN bg USING (run) GROUP BY doc_id""")
 def copy_detection(spark, sf):
-    runs = lambda df, id_: df.select(id_, F.explode(tx.shingles(tx.plain_words(F.col("text")), 12)).alias("run"))
+    words = lambda df, id_: df.select(id_, tx.plain_words(F.col("text")).alias("w"))
+    runs = lambda df, id_: tx.shingle_rows(words(df, id_), [id_], "w", 12, "run")
     hit = runs(load(spark, sf, "documents"), "doc_id").join(runs(load(spark, sf, "benchmark"), "item_id"), "run")
     return hit.groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("run").alias("runs"))
 

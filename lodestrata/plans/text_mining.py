@@ -130,7 +130,8 @@ def errata_once(spark, sf):
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents), s AS (SELECT doc_id, w, unnest(generate_series(0, greatest(0, CAST(ceil((len(w) - 260) / 215.0) AS BIGINT)) * 215, 215)) AS a FROM w WHERE len(w) > 0)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS chunk, md5(array_to_string(w[a + 1:a + 260], ' ')) AS digest FROM s""")
 def sliding_chunks(spark, sf):
-    c = load(spark, sf, "documents").select("doc_id", F.posexplode(tx.sliding_chunks(_split("text"), 260, 45)).alias("chunk", "body"))
+    d = load(spark, sf, "documents").select("doc_id", _split("text").alias("w"))
+    c = d.select("doc_id", F.posexplode_outer(tx.sliding_chunks(F.col("w"), 260, 45)).alias("chunk", "body")).where("body IS NOT NULL")
     return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5("body").alias("digest"))
 
 
@@ -292,10 +293,11 @@ def near_duplicate_screen(spark, sf):
     """Pairs of distinct normal texts with shingle Jaccard of 0.8 or more, by prefix filtering."""
     d = load(spark, sf, "documents").select("doc_id", tx.plain_words(F.col("text")).alias("w")).withColumn("k", F.sha2(F.array_join("w", " "), 256))
     d = d.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"))
-    s = d.select("doc_id", F.array_sort(F.transform(tx.shingles(F.col("w"), 5), lambda x: F.xxhash64(x))).alias("s")).where(F.size("s") > 0)
+    g = tx.shingle_rows(d, ["doc_id"], "w", 5, "g").select("doc_id", F.xxhash64("g").alias("g"))
+    s = g.groupBy("doc_id").agg(F.array_sort(F.collect_set("g")).alias("s"))
     # Two sets of Jaccard 0.8 share a hash among the smallest |A| - ceil(0.8 |A|) + 1 of each.
     prefix = F.size("s") - F.ceil(F.size("s") * 0.8).cast("int") + 1
-    p = s.select("doc_id", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), prefix)).alias("h"))
+    p = tx.spread(s.select("doc_id", "s", F.size("s").alias("n")), ["doc_id", "n"], F.slice("s", F.lit(1), F.greatest(prefix, F.lit(0))), "h")
     a, b = p.alias("a"), p.alias("b")
     sized = (F.col("b.n") >= F.col("a.n") * 0.8) & (F.col("a.n") >= F.col("b.n") * 0.8)
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.doc_id") < F.col("b.doc_id")) & sized).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
