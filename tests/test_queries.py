@@ -12,5 +12,5 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     compare(spark, sf_dir, QUERIES[name], SQL[name])
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+def test_only_sequential_queries_lack_sql():
+    assert set(QUERIES) - set(SQL) == {"sentence_chunks", "heading_chunks", "site_clusters"}
