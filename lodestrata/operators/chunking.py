@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..sources.shipping import ship
+
 SENTENCE_END = re.compile(r"[.!?:;)]$")
 
 
@@ -60,6 +62,7 @@ def heading_chunks(text: str | None, most: int = 600, size: int = 520, overlap:
 
 def chunk(docs: DataFrame, id_: str, text: str, by: str = "sentence") -> DataFrame:
     """(id, chunk, heading, body) for every chunk of every text."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,6 +84,8 @@ def cluster_sites(sites: DataFrame, region: str, radius_m: float = 150.0) -> Dat
     region is one group; regions are small by construction (an array of sensors).
     """
 
+    ship(sites.sparkSession)
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         clusters: list[list[tuple[float, float, int]]] = []
         for row in group.sort_values(["lat", "lon", "id"]).itertuples():

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 
 def hypocentre_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Whitespace catalog: at least 18 tokens, an 8-digit date, hhmm, seconds up to 60.00, degrees and minutes.
@@ -109,6 +111,7 @@ def profile_jsonl(spark: SparkSession, path: str, text_key: str, id_key: str) ->
 
 def packet_spans(files: DataFrame, record_length: int = 512) -> DataFrame:
     """Spans of fixed-length seismic records from ``binaryFile`` rows: (path, station, channel, start, end, rate)."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

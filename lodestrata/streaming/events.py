@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -34,6 +36,7 @@ def without_repeats(events: DataFrame, key: str = "event_id") -> DataFrame:
 
 def state_since(events: DataFrame, threshold: float) -> DataFrame:
     """Per user: the state (high or low value) after each micro-batch and since when it holds."""
+    ship(events.sparkSession)
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         current, since, seen = state.get if state.exists else (None, None, None)
