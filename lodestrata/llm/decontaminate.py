@@ -85,10 +85,14 @@ def marks(df: DataFrame, words: str, lengths: list[int], keep: list[str]) -> Dat
     return df.select(*keep, F.array_distinct(F.concat(*made)).alias("_marks"))
 
 
-def windows(words: Column, n: int) -> Column:
-    """(at: position from 0, window: the n words there joined by one space) for every start."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, n), " ").alias("window")))
+def windows(df: DataFrame, words: str, n: int, keep: list[str]) -> DataFrame:
+    """``keep``, at (position from 0) and window (the n words there joined by one space) for every start.
+
+    Windows are joined by doubling, one array pass a step: linear in the text, however long.
+    """
+    joined = _doubled(df.select(*keep, F.col(words).alias("_w")), "_w", "_windows", n, lambda x, y: F.concat_ws(" ", x, y))
+    # The outer form: a plain explode would push a filter on the array below the steps and compute them twice.
+    return joined.select(*keep, F.posexplode_outer("_windows").alias("at", "window")).where(F.col("window").isNotNull())
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -120,7 +124,7 @@ def find_hits(docs: DataFrame, items: DataFrame) -> Hits | None:
     item_windows = item_marks = None
     for n in lengths:
         own = bench.where(F.col("n") == n)
-        w = own.select("item_id", "n", F.explode(windows(F.col("words"), n)).alias("w")).select("item_id", "n", "w.window")
+        w = windows(own, "words", n, ["item_id", "n"]).select("item_id", "n", "window")
         m = marks(own, "words", [n], []).select(F.explode("_marks").alias("mark"))
         item_windows = w if item_windows is None else item_windows.unionByName(w)
         item_marks = m if item_marks is None else item_marks.unionByName(m)
@@ -146,7 +150,7 @@ def find_hits(docs: DataFrame, items: DataFrame) -> Hits | None:
     known = _small(item_windows.select("n", "window").distinct(), n_windows)
     hits = None
     for n in lengths:
-        own = texts.select("doc_id", "text_key", F.lit(n).alias("n"), F.explode(windows(F.col("words"), n)).alias("w")).select("doc_id", "text_key", "n", "w.at", "w.window")
+        own = windows(texts, "words", n, ["doc_id", "text_key"]).select("doc_id", "text_key", F.lit(n).alias("n"), "at", "window")
         hits = own if hits is None else hits.unionByName(own)
     hits = common.materialize(hits.join(known, ["n", "window"], "left_semi"), "window-hits")
     return Hits(counted, hits, item_windows, n_windows, n_candidates)
