@@ -93,6 +93,7 @@ class Transducer:
         self.ids = ids
         self.stable: dict[str, dict[str, bool]] = {}
         self.n_stable = 0
+        self.limit, self.stable_limit = CACHE, STABLE
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -223,7 +224,7 @@ class Transducer:
         return np.array(out, "<i4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if self.n_stable > STABLE:
+        if self.n_stable > self.stable_limit:
             self.stable, self.n_stable = {}, 0
         for w in words:
             ids = self.older.get(w)
@@ -231,7 +232,7 @@ class Transducer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of every whole text."""
-        if len(self.words) > CACHE:  # before the lookups below, which count on what stays
+        if len(self.words) > self.limit:  # before the lookups below, which count on what stays
             self.words, self.older = {}, self.words
         split = []
         for text in texts:
@@ -260,8 +261,12 @@ def transducer(path: str) -> Transducer:
     return held[path]
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """All columns of ``docs`` and ids array<int>, n_tokens, n_fallback, ids_crc32, decoded_crc32, round_trip."""
+def encode(docs: DataFrame, model: str, words_kept: int = CACHE) -> DataFrame:
+    """All columns of ``docs`` and ids array<int>, n_tokens, n_fallback, ids_crc32, decoded_crc32, round_trip.
+
+    ``words_kept`` bounds each generation of a worker's word cache (some 200 bytes a word, two
+    generations): fewer words cost CPU time, more cost memory that stays with the idle worker.
+    """
     common.ship(docs.sparkSession)
     added = {
         "ids": "array<int>",
@@ -276,6 +281,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
+        machine.limit, machine.stable_limit = words_kept, 3 * words_kept
         is_byte = np.zeros(len(machine.piece_bytes), bool)
         is_byte[[b for b in machine.byte_id if b >= 0]] = True
         for whole in batches:
