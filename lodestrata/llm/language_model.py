@@ -1,27 +1,24 @@
 """Operator 4: language-model scoring from a log-frequency Bloom filter.
 
-Counting. Every training text is cut into words and one end token. Python
-pre-aggregates 1-grams and 2-grams per block of texts; the shuffle sums them by
-a 64-bit hash, dealt by filter segment so that each segment of the filter is
-built by exactly one task from all its n-grams. 1-grams keep their exact string.
-
-Filter. An n-gram of count c is stored at the levels 1..q(c), with
-q(c) = 1 + floor(log_b c): the quantised count is read back by probing level
-after level until one is missing. Segments have a fixed number of bits. A
-segment whose n-grams need more than its bits allow (``BITS_PER_ENTRY`` for
-each level) raises its own lowest stored level and says so in its header:
-counts below that read as zero and fall back to the smoothed lower order. The
-filter has at most ``MAX_BITS`` bits (64 MB) whatever the corpus, which is the
-proven bound of the broadcast.
-
-Scoring. P(w | v) = (c(v,w) + mu * P(w)) / (c(v) + mu) with all three counts
-probed from the filter, P(w) add-half smoothed, and c(v,w) never above c(v) or
-c(w). ``score`` is the sum of log10 P over the words and the end token, the
-first word's history being a start mark.
-
-Base score. Exact: counts of the ``HOT`` most frequent tokens travel as a
-broadcast of bounded size; every other token goes through a shuffle join of
-(text, token) pairs with the exact counts, pre-aggregated per text.
+Blocks. Every text is cut into words and one end token. Python encodes a block
+of texts at a time and deals the block's distinct 1-grams and 2-grams, each with
+its count in the block's training texts, to segments by hash. A segment's rows
+meet in one task, which answers each block for the n-grams it asked about; the
+answers then meet their block again, which is scored. Nothing is broadcast or
+collected but three sums, so what is gathered grows with the corpus, and so does
+the number of segments.
+
+Filter. Each segment's counted 2-grams go to a filter of its own. An n-gram of
+count c is stored at the levels 1..q(c), with q(c) = 1 + floor(log_b c): the
+quantised count is read back by probing level after level until one is missing.
+The filter has ``BITS_STORED`` bits for each entry its n-grams need, so that
+every level of every n-gram is kept. (``build_segment`` with fewer bits would
+raise the lowest stored level.) Counts of 1-grams are exact.
+
+Scoring. P(w | v) = (c(v,w) + mu * P(w)) / (c(v) + mu) with c(v,w) probed from
+the filter and never above c(v) or c(w), P(w) add-half smoothed. ``score`` is the
+sum of log10 P over the words and the end token, the first word's history being
+a start mark. ``base_score`` is the sum of log10 P(w).
 
 Defined cases: null and empty texts are the single end token; without training
 texts all counts are zero; repeated rows are counted and scored each; null ids
@@ -31,13 +28,12 @@ are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +44,12 @@ START_HASH = np.uint64(0x5157415254)
 BASE = 1.25
 PROBES = 4
 SEGMENTS = 4096
-MIN_BITS, MAX_BITS = 1 << 22, 1 << 29
-BITS_PER_ENTRY = 8
-BYTES_PER_TOKEN = 6
-HOT = 100_000
+SEGMENT_BYTES = 2 << 20  # of text
+BITS_PER_ENTRY, BITS_STORED = 8, 16
 MU = 30.0
-BLOCK = 4096
+BLOCK, BLOCK_BYTES = 8192, 16 << 20
+HASH_BYTES = 6  # sent of a 2-gram's hash, below the bits that name its segment
+WORDS, PAIRS, TEXTS = 0, 1, 2
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -106,41 +102,121 @@ class Encoded:
         return mix(before * M1 + own * M2 + M3)
 
 
+class _Numbers(dict):
+    """Numbers words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def encode(texts: list[str | None]) -> Encoded:
-    flat: list[bytes] = []
+    number = _Numbers()
+    flat = array("i")
     ends = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        flat.extend(tokens(t))
+        flat.extend(map(number.__getitem__, tokens(t)))
         ends[i] = len(flat)
-    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
     words = list(number)
-    at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    return Encoded(words, word_hashes(words), at, ends)
+    return Encoded(words, word_hashes(words), np.frombuffer(flat, np.int32), ends)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most ``BLOCK`` rows and, but for a single longer text, ``BLOCK_BYTES`` bytes at a time."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, size):
-            yield batch.slice(lo, size)
+        sizes = batch.column("bytes").to_pylist()
+        lo = held = 0
+        for i, size in enumerate(sizes):
+            if i > lo and (i - lo == BLOCK or held + size > BLOCK_BYTES):
+                yield batch.slice(lo, i - lo)
+                lo, held = i, 0
+            held += size
+        if lo < len(sizes):
+            yield batch.slice(lo)
+
+
+ROW = "segment int, kind int, block long, body binary, n binary, texts long, tokens long, types long"
+ROW_ARROW = pa.schema(
+    [("segment", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("body", pa.binary()), ("n", pa.binary())]
+    + [(c, pa.int64()) for c in ("texts", "tokens", "types")]
+)
+
+
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(ROW_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROW_ARROW, strict=True)], schema=ROW_ARROW)
+
+
+def _list(values: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+
+
+def squeeze(values: np.ndarray | bytes, width: int = 1) -> bytes:
+    """Bytes compressed; of integers the lowest ``width`` bytes, plane by plane, as like bytes compress together."""
+    raw = values if isinstance(values, bytes) else np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T).tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueeze(body: bytes) -> bytes:
+    return pa.decompress(body[4:], int.from_bytes(body[:4], "little"), "zstd", asbytes=True)
+
+
+def integers(body: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(body), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(body: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(body) as r:
+        return r.read_next_batch()
 
 
-def ngram_rows(train: DataFrame) -> DataFrame:
-    """seg int, h long, token binary (1-grams only), n long, pre-aggregated per block."""
+def _slices(hashes: np.ndarray, segments: int) -> Iterator[tuple[int, int, int]]:
+    """(segment, first, end) of sorted hashes; the segment is the hash's highest bits."""
+    own = (hashes >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist()
+    return ((int(own[a]), a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def block_rows(rows: DataFrame, segments: int) -> DataFrame:
+    """Per block: its n-grams with training counts, a row for each segment, and the encoded texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
             e = encode(batch.column("text").to_pylist())
-            ones = np.bincount(e.at, minlength=len(e.words))
-            pairs, twos = np.unique(e.pairs(), return_counts=True)
-            h = np.concatenate([e.hashes, [START_HASH], pairs])
-            n = np.concatenate([ones, [batch.num_rows], twos]).astype(np.int64)
-            token = pa.chunked_array([pa.array(e.words, pa.binary()), pa.nulls(1 + len(pairs), pa.binary())]).combine_chunks()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((mix(h) % np.uint64(SEGMENTS)).astype(np.int32)), pa.array(h.view(np.int64)), token, pa.array(n)],
-                ["seg", "h", "token", "n"],
+            block = batch.column("row")[0].as_py()
+            held = np.asarray(batch.column("held_out").to_pylist(), bool)
+            lengths = np.diff(e.ends, prepend=0)
+            train = np.repeat(~held, lengths)
+            out = []
+            order = np.argsort(e.hashes, kind="stable")
+            ones = np.bincount(e.at[train], minlength=len(e.words)).astype("<u4")[order]
+            for s, a, z in _slices(e.hashes[order], segments):
+                out.append((s, WORDS, block, squeeze(b" ".join([e.words[i] for i in order[a:z].tolist()])), squeeze(ones[a:z], 4), None, None, None))
+            pairs, back = np.unique(e.pairs(), return_inverse=True)
+            twos = np.bincount(back[train], minlength=len(pairs)).astype("<u4")
+            below = pairs << np.uint64(segments.bit_length() - 1) >> np.uint64(64 - 8 * HASH_BYTES)
+            for s, a, z in _slices(pairs, segments):
+                out.append((s, PAIRS, block, squeeze(below[a:z], HASH_BYTES), squeeze(twos[a:z], 4), None, None, None))
+            body = _packed(
+                {"doc_id": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), batch.column("doc_id")), "held_out": _list(held), "length": _list(lengths), "at": pa.array([squeeze(e.at, 4)], pa.binary()), "hash": _list(e.hashes)}
             )
+            # Dealt by its number, so that texts spread over the tasks as n-grams do.
+            s = int(mix(np.array([block], np.uint64))[0] % np.uint64(segments))
+            out.append((s, TEXTS, block, body, None, int((~held).sum()), int(train.sum()), None))
+            yield _row_batch(out)
 
-    return train.mapInArrow(run, "seg int, h long, token binary, n long")
+    return rows.mapInArrow(run, ROW)
 
 
 def positions(h: np.ndarray, level: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -167,13 +243,13 @@ def build_segment(h: np.ndarray, n: np.ndarray, bits: int) -> tuple[int, np.ndar
 
 
 class Filter:
-    """All segments side by side; ``counts`` reads quantised counts by repeated membership probes."""
+    """Segments of ``bits`` bits side by side; quantised counts are read by repeated membership probes."""
 
     def __init__(self, bits: int, lowest: np.ndarray, data: np.ndarray):
         self.bits, self.lowest, self.data = bits, lowest, data
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        seg = (mix(h) % np.uint64(SEGMENTS)).astype(np.int64)
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        seg = (mix(h) % np.uint64(len(self.lowest))).astype(np.int64)
         level = self.lowest[seg] - 1
         floor = level.copy()
         live = np.arange(len(h))
@@ -186,125 +262,113 @@ class Filter:
                 ok &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             live = live[ok]
             level[live] += 1
-        return count_of(np.where(level > floor, level, 0))
+        return np.where(level > floor, level, 0)
 
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return count_of(self.levels(h))
 
-def filter_bits(train: DataFrame) -> int:
-    """Bits per segment: enough for the corpus's size in bytes, within the fixed bounds."""
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = size // BYTES_PER_TOKEN * 2 * BITS_PER_ENTRY
-    bits = MIN_BITS
-    while bits < wanted and bits < MAX_BITS:
-        bits *= 2
-    return bits // SEGMENTS
 
+def whole_filter(h: np.ndarray, n: np.ndarray) -> Filter:
+    """One segment with room for every level of every n-gram."""
+    bits = max(64, -(-int(level_of(n).sum()) * BITS_STORED // 8) * 8)
+    lowest, data = build_segment(h, n, bits)
+    return Filter(bits, np.array([lowest]), data)
 
-def build(train: DataFrame, bits: int) -> DataFrame:
-    """One table of 1-grams (token, n) and filter segments (seg, lowest, data)."""
-    tasks = max(1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    summed = ngram_rows(train).repartition(tasks, "seg").groupBy("seg", "h", "token").agg(F.sum("n").alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            known = batch.filter(pa.compute.is_valid(batch.column("token")))
-            if known.num_rows:
-                k = known.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [known.column("token"), known.column("n"), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                    ["token", "n", "seg", "lowest", "data"],
-                )
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("seg", "h", "n")])
-        if not held:
-            return
-        seg, h, n = (np.concatenate(c) for c in zip(*held, strict=True))
-        held.clear()
-        order = np.argsort(seg, kind="stable")
-        seg, h, n = seg[order], h[order].view(np.uint64), n[order]
-        cuts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1], [True]]))
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            lowest, data = build_segment(h[a:z], n[a:z], bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([int(seg[a])], pa.int32()), pa.array([lowest], pa.int32()), pa.array([data.tobytes()], pa.binary())],
-                ["token", "n", "seg", "lowest", "data"],
-            )
+def answer_pairs(asked: list[np.ndarray], counts: list[np.ndarray]) -> list[bytes]:
+    """The filter's level for each 2-gram asked about, one byte each."""
+    h, back = np.unique(np.concatenate(asked), return_inverse=True)
+    n = np.bincount(back, np.concatenate(counts), len(h)).astype(np.int64)
+    level = whole_filter(h[n > 0], n[n > 0]).levels(h).astype(np.uint8)[back]
+    return [squeeze(x) for x in np.split(level, np.cumsum([len(x) for x in asked])[:-1])]
 
-    return summed.mapInArrow(run, "token binary, n long, seg int, lowest int, data binary")
 
+def answer_words(asked: list[list[bytes]], counts: list[np.ndarray]) -> tuple[list[bytes], int]:
+    """The exact training count of each word asked about, and the number of words that have one."""
+    number = _Numbers()
+    at = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in asked]
+    n = np.bincount(np.concatenate(at), np.concatenate(counts), len(number)).astype("<u8")
+    return [squeeze(n[x], 8) for x in at], int((n > 0).sum())
 
-def collect_filter(built: DataFrame, bits: int) -> Filter:
-    """The filter on the driver: SEGMENTS rows of bits/8 bytes, MAX_BITS/8 bytes in all at most."""
-    lowest, data = np.ones(SEGMENTS, np.int64), np.zeros(SEGMENTS * bits // 8, np.uint8)
-    for r in built.where(F.col("seg").isNotNull()).select("seg", "lowest", "data").toLocalIterator():
-        lowest[r["seg"]] = r["lowest"]
-        data[r["seg"] * bits // 8 : (r["seg"] + 1) * bits // 8] = np.frombuffer(r["data"], np.uint8)
-    return Filter(bits, lowest, data)
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """Runs of rows with equal keys."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[k] != held[-1][k] for k in keys):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def answer_rows(dealt: DataFrame) -> DataFrame:
+    """Rows sorted by segment and kind, with answers for the n-grams; encoded texts pass."""
 
-def score_rows(rows: DataFrame, held, known, total: int, distinct: int) -> DataFrame:
-    """Per row: sums over hot tokens and the model's score; besides, one line for each other (row, token)."""
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, token binary, n long"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["segment", "kind"]):
+            segment, kind, types = group[0]["segment"], group[0]["kind"], 0
+            if kind == TEXTS:
+                for r in group:
+                    yield _row_batch([tuple(r[c] for c in ROW_ARROW.names)])
+                continue
+            counts = [integers(r["n"], 4) for r in group]
+            if kind == WORDS:
+                bodies, types = answer_words([unsqueeze(r["body"]).split(b" ") for r in group], counts)
+            else:
+                bodies = answer_pairs([integers(r["body"], HASH_BYTES) for r in group], counts)
+            yield _row_batch([(segment, kind, r["block"], body, None, None, None, 0 if i else types) for i, (r, body) in enumerate(zip(group, bodies, strict=True))])
+
+    return dealt.mapInArrow(run, ROW)
+
+
+def score_blocks(met: DataFrame, texts: int, total: int, distinct: int) -> DataFrame:
+    """The answer's rows from each block's answers and encoded texts, sorted by block, kind and segment."""
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scale = total + 0.5 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, lowest, data = held.value
-        probe = Filter(bits, lowest, data)
-        hot = known.value
-        for batch in _blocks(batches, 1024):
-            e = encode(batch.column("text").to_pylist())
-            docs = batch.num_rows
-            starts = np.concatenate([[0], e.ends[:-1]])
-            doc = np.repeat(np.arange(docs), e.ends - starts)
-            ones = probe.counts(e.hashes)
-            pairs, back = np.unique(e.pairs(), return_inverse=True)
-            twos = probe.counts(pairs)[back]
-            own = ones[e.at]
+        for group in _groups(batches, ["block"]):
+            said = {k: np.concatenate([integers(r["body"], w) for r in group if r["kind"] == k]) for k, w in ((WORDS, 8), (PAIRS, 1))}
+            block = _unpacked(group[-1]["body"])
+            lengths, hashes = (block.column(c).values.to_numpy() for c in ("length", "hash"))
+            at = integers(block.column("at")[0].as_py(), 4).astype(np.int32)
+            e = Encoded([], hashes, at, np.cumsum(lengths))
+            docs, starts = len(lengths), e.ends - lengths
+            doc = np.repeat(np.arange(docs), lengths)
+            ones = np.zeros(len(hashes))
+            ones[np.argsort(hashes, kind="stable")] = said[WORDS]
+            twos = count_of(said[PAIRS].astype(np.int64))[np.unique(e.pairs(), return_inverse=True)[1]]
+            own = ones[at]
             before = np.empty_like(own)
             before[1:] = own[:-1]
-            before[starts] = probe.counts(np.array([START_HASH]))[0]
-            p_word = (own + 0.5) / scale if scale > 0.5 else np.full(len(own), 1.0)
+            before[starts] = texts
+            p_word = (own + 0.5) / scale
             p = (np.minimum(twos, np.minimum(before, own)) + MU * p_word) / (before + MU)
-            score = np.bincount(doc, np.log10(np.minimum(p, 1.0)), docs)
-            exact = np.array([hot.get(w, 0) for w in e.words], np.float64)
-            is_hot = (exact > 0)[e.at]
-            logs = np.bincount(doc[is_hot], np.log10(exact[e.at[is_hot]] + 0.5), docs)
-            n_known = np.bincount(doc[is_hot], minlength=docs)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"),
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(e.ends - starts),
-                    pa.array(n_known.astype(np.int64)),
-                    pa.array(logs),
-                    pa.array(score),
-                    pa.nulls(docs, pa.binary()),
-                    pa.nulls(docs, pa.int64()),
+                    block.column("doc_id").values,
+                    block.column("held_out").values,
+                    pa.array(lengths),
+                    pa.array(np.bincount(doc[own > 0], minlength=docs).astype(np.int64)),
+                    pa.array(np.full(docs, total, np.int64)),
+                    pa.array(np.bincount(doc, np.log10(p_word), docs)),
+                    pa.array(np.bincount(doc, np.log10(np.minimum(p, 1.0)), docs)),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "token", "n"],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
-            rest = np.flatnonzero(~is_hot)
-            if len(rest):
-                key, n = np.unique(doc[rest] * len(e.words) + e.at[rest], return_counts=True)
-                d, w = key // len(e.words), key % len(e.words)
-                words = pa.array(e.words, pa.binary()).take(pa.array(w))
-                k = len(key)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(batch.column("row").to_numpy()[d]),
-                        pa.nulls(k, pa.int64()),
-                        pa.nulls(k, pa.bool_()),
-                        pa.nulls(k, pa.int64()),
-                        pa.nulls(k, pa.int64()),
-                        pa.nulls(k, pa.float64()),
-                        pa.nulls(k, pa.float64()),
-                        words,
-                        pa.array(n.astype(np.int64)),
-                    ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "token", "n"],
-                )
-
-    return rows.mapInArrow(run, schema)
+
+    return met.mapInArrow(run, schema)
+
+
+def segment_count(size: int) -> int:
+    """A power of two that grows with the bytes of text."""
+    n = SEGMENTS // 4
+    while n * SEGMENT_BYTES < size:
+        n *= 2
+    return n
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -316,38 +380,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (common.fold("doc_id", 5) == 1).alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"),
-    )
-    train = docs.where(common.fold("doc_id", 5) != 1).select("text")
-    bits = filter_bits(train)
-    built = common.materialize(build(train, bits), "ngrams")
-    unigrams = built.where(F.col("token").isNotNull()).select("token", "n")
-    total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = unigrams.orderBy(F.desc("n"), "token").limit(HOT).collect()
-    known = spark.sparkContext.broadcast({bytes(r["token"]): r["n"] for r in top})
-    found = collect_filter(built, bits)
-    held = spark.sparkContext.broadcast((found.bits, found.lowest, found.data))
-    scored = common.materialize(score_rows(rows, held, known, total, distinct), "scored")
-    main = scored.where(F.col("token").isNull()).select("row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score")
-    # No hot token is among these, so no key of the join has more than its share of rows.
-    rest = (
-        scored.where(F.col("token").isNotNull())
-        .select("row", "token", F.col("n").alias("times"))
-        .join(unigrams, "token", "left")
-        .select(
-            "row",
-            F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0)).alias("n_known"),
-            (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"),
-        )
-        .groupBy("row")
-        .agg(F.sum("n_known").alias("more_known"), F.sum("logs").alias("more_logs"))
-    )
-    log_scale = F.log10(F.lit(total + 0.5 * (distinct + 1)))
-    return main.join(rest, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * log_scale).alias("base_score"),
-        "score",
-    )
+    ).withColumn("bytes", F.octet_length("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # A task's rows come to Python in few Arrow batches: some blocks' worth of bytes a task.
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // (8 * BLOCK_BYTES))
+    dealt = block_rows(rows, segment_count(size)).repartition(tasks, "segment").sortWithinPartitions("segment", "kind", "block")
+    answered = common.materialize(answer_rows(dealt), "answers")
+    texts, total, distinct = answered.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("texts", "tokens", "types")]).first()
+    met = answered.repartition(tasks, "block").sortWithinPartitions("block", "kind", "segment")
+    return score_blocks(met.select("block", "kind", "body"), texts, total, distinct)

@@ -217,6 +217,32 @@ def test_full_segments_raise_their_lowest_level():
     assert 1 < lowest <= language_model.level_of(np.array([9]))[0]
 
 
+def test_score_uses_exact_words_and_every_pair(spark, docs):
+    tokens = lambda t: [*cases.space_words(t), "\n"]
+    train = [tokens(r[1]) for r in cases.rows() if cases.fold(r[0], 5) != 1]
+    ones, twos = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["", *t], t, strict=False))
+    ones[""] = len(train)
+    total, distinct = sum(map(len, train)), len(ones) - 1
+    quantised = lambda c: float(language_model.count_of(language_model.level_of(np.array([c])))[0]) if c else 0.0
+    want = []
+    for r in cases.rows():
+        t, score = tokens(r[1]), 0.0
+        for v, w in zip(["", *t], t, strict=False):
+            p = (ones[w] + 0.5) / (total + 0.5 * (distinct + 1))
+            score += math.log10(min(1, (min(quantised(twos[v, w]), ones[v], ones[w]) + language_model.MU * p) / (ones[v] + language_model.MU)))
+        want.append((r[0], round(score, 5)))
+    assert cases.key([(r.doc_id, round(r.score, 5)) for r in language_model.score_documents(docs).collect()]) == cases.key(want)
+
+
+def test_large_segments_keep_their_rarest_pairs():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 60000, dtype=np.uint64)
+    n = np.where(np.arange(60000) < 50000, 1, 9).astype("<u4")
+    first, second = language_model.answer_pairs([h, h[:100]], [n, np.zeros(100, "<u4")])
+    level = language_model.integers(first, 1).astype(int)
+    assert (level >= language_model.level_of(n.astype(int))).all() and (level == language_model.level_of(n.astype(int))).mean() > 0.98
+    assert (language_model.integers(second, 1) == level[:100]).all()
+
+
 def test_model_beats_base_on_held_out(spark, sf_dir):
     rows = [r for r in language_model.score_documents(common.table(spark, sf_dir, "documents")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
