@@ -4,7 +4,7 @@ Text and templates are normalised the same way: ASCII lower case, every other
 ASCII sign a space, words of letters, digits and bytes beyond ASCII. The whole
 text and every run of consecutive lines are units; a unit matches a template
 when the Dice coefficient 2|A n B| / (|A| + |B|) of their distinct bigrams is
-``CUT`` or more. Two bounds prune without losing a match:
+``CUT`` or more. Two bounds, in whole numbers, prune without losing a match:
 
 * size: Dice >= c needs c/(2-c) |B| <= |A| <= (2-c)/c |B|;
 * shared bigrams: the lines of a run hold at most the sum of their own hits.
@@ -23,8 +23,10 @@ columns are ignored. The template list is fixed, so its broadcast is bounded.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,12 +75,13 @@ def anchors(grams: set[tuple[bytes, bytes]], cut: float) -> set[bytes]:
     below the cut exactly when a > 2t(1-cut) / (2-cut).
     """
     t = len(grams)
+    exact = Fraction(str(cut))
     chosen: set[bytes] = set()
     counts = Counter(w for g in grams for w in set(g))
     ranked = sorted(counts, key=lambda w: (w.decode() in FUNCTION_WORDS, -counts[w], -len(w), w))
     for w in ranked:
         chosen.add(w)
-        if sum(1 for g in grams if g[0] in chosen or g[1] in chosen) > 2 * t * (1 - cut) / (2 - cut):
+        if sum(1 for g in grams if g[0] in chosen or g[1] in chosen) > 2 * t * (1 - exact) / (2 - exact):
             break
     return chosen
 
@@ -90,8 +93,10 @@ class Scanner:
         self.grams = [bigrams(words(t)) for t in templates.values()]
         if any(not g for g in self.grams):
             raise ValueError("a template needs two words at least")
-        self.low = [cut / (2 - cut) * len(g) for g in self.grams]
-        self.high = [(2 - cut) / cut * len(g) for g in self.grams]
+        self.exact = Fraction(str(cut))
+        most = (2 - self.exact) / self.exact
+        self.low = [math.ceil(len(g) / most) for g in self.grams]
+        self.high = [math.floor(len(g) * most) for g in self.grams]
         self.owners: dict[tuple[bytes, bytes], list[int]] = {}
         for i, g in enumerate(self.grams):
             for b in g:
@@ -116,12 +121,19 @@ class Scanner:
             ends.append(own)
             last = ws[-1] if ws else last
         hits = [Counter(i for b in set(own) for i in self.owners.get(b, ())) for own in ends]
+        # The next line with words: where the first line is one word, its bigram ends there.
+        after, nxt = [len(lines)] * len(lines), len(lines)
+        for a in range(len(lines) - 1, -1, -1):
+            after[a] = nxt
+            if lines[a]:
+                nxt = a
         best: dict[int, tuple[float, int, int]] = {}
         compared = 0
+        p, q = self.exact.numerator, self.exact.denominator
         for a in range(len(lines)):
             if not lines[a]:
                 continue
-            for i in {*hits[a], *(hits[a + 1] if a + 1 < len(lines) else ())}:
+            for i in {*hits[a], *(hits[after[a]] if after[a] < len(lines) else ())}:
                 seen: set = set(zip(lines[a], lines[a][1:]))
                 upper = hits[a][i]
                 for z in range(a, len(lines)):
@@ -130,7 +142,7 @@ class Scanner:
                         upper += hits[z][i]
                     if len(seen) > self.high[i]:
                         break
-                    if not lines[z] or len(seen) < self.low[i] or 2 * upper < self.cut * (len(seen) + len(self.grams[i])):
+                    if not lines[z] or len(seen) < self.low[i] or 2 * q * upper < p * (len(seen) + len(self.grams[i])):
                         continue
                     compared += 1
                     d = self._dice(seen, i)

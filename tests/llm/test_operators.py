@@ -61,6 +61,19 @@ def test_licence_scan_finds_what_brute_force_finds(spark, docs):
     assert licence_scan.scan(cases.empty(docs.sparkSession)).count() == 0
 
 
+def test_licence_scan_keeps_dice_at_the_cut_and_runs_over_blank_lines():
+    texts = ["2024 All rights reserved.", "some prose\n2024 All rights reserved.\nmore prose", "prose here\nAll\n\nrights reserved.\nprose there", "All\n \n\nrights\n\nreserved."]
+    for t in licence_scan.TEMPLATES.values():
+        ws = t.split()
+        texts += ["x\n" + " ".join(ws + [f"z{i}" for i in range(n)]) + "\ny" for n in range(len(ws) // 2 - 2, len(ws) // 2 + 2)]
+        texts += ["x\n" + " ".join(ws[:n]) + "\ny" for n in range(2 * len(ws) // 3 - 1, 2 * len(ws) // 3 + 4)]
+    scanner = licence_scan.Scanner(licence_scan.TEMPLATES)
+    found = [{n: d for n, d, _, _ in scanner.scan(t)[0]} for t in texts]
+    assert found == [brute_licence(t) for t in texts]
+    assert found[0] == {"all-rights-reserved": 0.8} and found[2] == {"all-rights-reserved": 1.0}
+    assert sum(d == 0.8 for f in found for d in f.values()) == 10
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------
 
 
