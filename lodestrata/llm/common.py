@@ -2,31 +2,64 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
+import types
 import uuid
-import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE_ROOT = Path(__file__).resolve().parents[2]
+from ..sources.shipping import ship  # noqa: F401
 
-_shipped: set[str] = set()
+Batches = Iterator[pa.RecordBatch]
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (Spark serves the archive)."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    target = Path(tempfile.mkdtemp(prefix="lodestrata-")) / "lodestrata_llm.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for top in ("lodestrata",):
-            for f in sorted((PACKAGE_ROOT / top).rglob("*.py")):
-                z.write(f, f.relative_to(PACKAGE_ROOT))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
+def process_cache() -> dict:
+    """A store that lives as long as the worker process, whatever copy of this module a task holds."""
+    return sys.modules.setdefault("lodestrata_process_cache", types.ModuleType("lodestrata_process_cache")).__dict__
+
+
+def give_back() -> None:
+    """Returns what a finished task has freed to the system: idle workers live on beside the next stage."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow, giving memory back when its rows end."""
+
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def slices(batch: pa.RecordBatch, most: int, column: str = "text", rows: int = 1024) -> Batches:
+    """Runs of at most ``rows`` rows and, but for a single longer text, ``most`` bytes of ``column``."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = min(max(int(np.searchsorted(ends, before + most, "right")), lo + 1), lo + rows, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +81,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(Path(tempfile.mkdtemp(prefix="lodestrata-checkpoint-")).as_uri())
         return sc._jsc.sc().getCheckpointDir().get()
     return base

@@ -21,9 +21,10 @@ sum of log10 P over the words and the end token, the first word's history being
 a start mark. ``base_score`` is the sum of log10 P(w).
 
 Defined cases: null and empty texts are the single end token; without training
-texts all counts are zero; repeated rows are counted and scored each; null ids
+texts all counts are zero; repeated rows are counted and scored each, equal texts
+alike; a very long text is a block of its own and is scored whole; null ids
 count as the text '' in the fold; an empty table gives no rows; other columns
-are ignored.
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -216,7 +217,7 @@ def block_rows(rows: DataFrame, segments: int) -> DataFrame:
             out.append((s, TEXTS, block, body, None, int((~held).sum()), int(train.sum()), None))
             yield _row_batch(out)
 
-    return rows.mapInArrow(run, ROW)
+    return rows.mapInArrow(common.tidy(run), ROW)
 
 
 def positions(h: np.ndarray, level: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -321,7 +322,7 @@ def answer_rows(dealt: DataFrame) -> DataFrame:
                 bodies = answer_pairs([integers(r["body"], HASH_BYTES) for r in group], counts)
             yield _row_batch([(segment, kind, r["block"], body, None, None, None, 0 if i else types) for i, (r, body) in enumerate(zip(group, bodies, strict=True))])
 
-    return dealt.mapInArrow(run, ROW)
+    return dealt.mapInArrow(common.tidy(run), ROW)
 
 
 def score_blocks(met: DataFrame, texts: int, total: int, distinct: int) -> DataFrame:
@@ -360,7 +361,7 @@ def score_blocks(met: DataFrame, texts: int, total: int, distinct: int) -> DataF
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(common.tidy(run), schema)
 
 
 def segment_count(size: int) -> int:

@@ -11,7 +11,9 @@ below the number of rows or groups, and no list of groups leaves the executors.
 Defined cases: a null text has no bytes (size 1, crc 0) and all null texts are
 one group, apart from the empty text; repeated rows and repeated ids are kept,
 each with its own slot; null ids sort first; an empty table gives no rows;
-columns of the input other than ``doc_id`` and ``text`` are ignored. A group
+columns of the input other than ``doc_id`` and ``text`` are ignored; a very long
+text counts by its bytes like any other; equal loads go to the smaller shard; in a
+shard, rows tied on the id are slotted by checksum and size. A group
 larger than an equal share (say a third of all rows) makes its shard that
 large, since groups are never split.
 """
