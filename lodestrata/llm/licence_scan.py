@@ -17,8 +17,11 @@ Templates of one word have no bigram and are not allowed. Among matches the
 highest Dice wins, ties to the earlier template, then the earlier and shorter run.
 
 Defined cases: null, empty and short texts have no match (null licence, dice 0);
-repeated rows and ids are each scanned; an empty table gives no rows; other
-columns are ignored. The template list is fixed, so its broadcast is bounded.
+repeated rows and ids are each scanned; very long texts are scanned whole, in
+time linear in their lines (a run visits only lines that add a bigram); an empty
+table gives no rows; other columns are ignored. The template list travels with
+the task; ``templates_from`` reads further ones, full licence texts say, from a
+table that the caller names.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CUT = 0.8
+SLICE_BYTES = 8 << 20
 FUNCTION_WORDS = {"a", "and", "any", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "with", "you", "not", "are", "was"}
 
 # Notices of public licences, as their stewards publish them.
@@ -53,7 +57,14 @@ TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
-    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org/>",
+    "unlicense-notice": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
 }
 
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -107,57 +118,92 @@ class Scanner:
         return 2 * len(own & self.grams[i]) / (len(own) + len(self.grams[i]))
 
     def scan(self, text: str | None) -> tuple[list[tuple[str, float, int, int]], int]:
-        """([(licence, dice, first line, last line)] per template that matches, its best unit), units compared."""
+        """([(licence, dice, first line, last line)] per template that matches, its best unit), units compared.
+
+        A run that starts at line ``a`` grows only at lines that hold a bigram it has not seen. Such
+        lines are kept as a linked list while the start moves from the last line to the first: line z
+        leaves it once the start reaches the latest earlier line from which all its bigrams are seen.
+        A run thus visits no more lines than its size bound has bigrams, however often lines repeat.
+        """
         if not text or self.anchors.isdisjoint(words(text)):
             return [], 0
         lines = [words(x) for x in text.split("\n")]
-        # Bigrams that end in each line (the first may begin in an earlier one), as a list with repeats.
-        ends: list[list[tuple[bytes, bytes]]] = []
-        last = None
-        for ws in lines:
-            own = list(zip(ws, ws[1:]))
+        n = len(lines)
+        ends: list[set[tuple[bytes, bytes]]] = []  # bigrams that end in each line (the first may begin in an earlier one)
+        leaves: list[list[int]] = [[] for _ in range(n)]  # the lines that leave when the start reaches this one
+        begun: dict[tuple[bytes, bytes], int] = {}  # the latest line in which a bigram that ended by now begins
+        useless: list[int] = []  # lines that end no bigram
+        last, last_line = None, -1
+        for z, ws in enumerate(lines):
+            own = {b: z for b in zip(ws, ws[1:])}
             if last is not None and ws:
-                own.insert(0, (last, ws[0]))
-            ends.append(own)
-            last = ws[-1] if ws else last
-        hits = [Counter(i for b in set(own) for i in self.owners.get(b, ())) for own in ends]
+                own.setdefault((last, ws[0]), last_line)
+            ends.append(set(own))
+            if own:
+                seen_from = min(begun.get(b, -1) for b in own)
+                if seen_from >= 0:
+                    leaves[seen_from].append(z)
+                begun.update(own)
+            else:
+                useless.append(z)
+            if ws:
+                last, last_line = ws[-1], z
+        hits = [Counter(i for b in own for i in self.owners.get(b, ())) for own in ends]
+        # Linked both ways; place n is the end, and as place -1 the head.
+        after, before = list(range(1, n + 1)) + [0], list(range(-1, n))
+
+        def unlink(z: int) -> None:
+            before[after[z]], after[before[z]] = before[z], after[z]
+
+        for z in useless:
+            unlink(z)
         # The next line with words: where the first line is one word, its bigram ends there.
-        after, nxt = [len(lines)] * len(lines), len(lines)
-        for a in range(len(lines) - 1, -1, -1):
-            after[a] = nxt
+        follows, nxt = [n] * n, n
+        for a in range(n - 1, -1, -1):
+            follows[a] = nxt
             if lines[a]:
                 nxt = a
         best: dict[int, tuple[float, int, int]] = {}
         compared = 0
         p, q = self.exact.numerator, self.exact.denominator
-        for a in range(len(lines)):
+        for a in range(n - 1, -1, -1):
+            for z in leaves[a]:
+                unlink(z)
             if not lines[a]:
                 continue
-            for i in {*hits[a], *(hits[after[a]] if after[a] < len(lines) else ())}:
-                seen: set = set(zip(lines[a], lines[a][1:]))
-                upper = hits[a][i]
-                for z in range(a, len(lines)):
-                    if z > a:
-                        seen.update(ends[z])
-                        upper += hits[z][i]
-                    if len(seen) > self.high[i]:
+            first = set(zip(lines[a], lines[a][1:]))
+            nearest = after[a] if ends[a] else after[n]  # only the first line with words ends no bigram
+            for i in {*hits[a], *(hits[follows[a]] if follows[a] < n else ())}:
+                seen, upper, z = set(first), hits[a][i], a
+                while len(seen) <= self.high[i]:
+                    if len(seen) >= self.low[i] and 2 * q * upper >= p * (len(seen) + len(self.grams[i])):
+                        compared += 1
+                        d = self._dice(seen, i)
+                        if d >= self.cut and (i not in best or (d, -a) > (best[i][0], -best[i][1])):  # the earlier start wins a tie
+                            best[i] = (d, a, z)
+                    z = nearest if z == a else after[z]
+                    if z >= n:
                         break
-                    if not lines[z] or len(seen) < self.low[i] or 2 * q * upper < p * (len(seen) + len(self.grams[i])):
-                        continue
-                    compared += 1
-                    d = self._dice(seen, i)
-                    if d >= self.cut and (i not in best or d > best[i][0]):
-                        best[i] = (d, a, z)
+                    seen |= ends[z]
+                    upper += hits[z][i]
         whole = bigrams([w for ws in lines for w in ws])
         for i in range(len(self.grams)):
             if self.low[i] <= len(whole) <= self.high[i]:
                 compared += 1
                 d = self._dice(whole, i)
                 if d >= self.cut and (i not in best or d > best[i][0]):
-                    best[i] = (d, 0, len(lines) - 1)
+                    best[i] = (d, 0, n - 1)
         return [(self.names[i], d, a, z) for i, (d, a, z) in sorted(best.items())], compared
 
 
+def templates_from(rows: DataFrame, most: int = 10_000) -> dict[str, str]:
+    """Templates from a table (name string, text string) of at most ``most`` rows with two words or more."""
+    found = rows.select("name", "text").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} templates")
+    return {r["name"]: r["text"] for r in sorted(found, key=lambda r: r["name"]) if bigrams(words(r["text"] or ""))}
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, cut: float = CUT) -> DataFrame:
     """doc_id, licence (best match or null), dice, first_line, last_line, n_licences, licences for every row."""
     common.ship(docs.sparkSession)
@@ -165,7 +211,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cut: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen, cut)
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, SLICE_BYTES)):
             names, dice, first, last, count, every = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found, _ = scanner.scan(text)
@@ -182,5 +228,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, cut: float =
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, licence string, dice double, first_line int, last_line int, n_licences int, licences array<string>"
+        common.tidy(run), "doc_id long, licence string, dice double, first_line int, last_line int, n_licences int, licences array<string>"
     )
