@@ -10,15 +10,21 @@ from exact distance histograms of half partitions. Every fingerprint is
 indexed once per partition and probes the keys within its threshold; index
 rows and probes that share a key are verified on all 64 bits.
 
-Rows of one key come to Python sorted, in Arrow batches. Within a key a
-breadth-first search over the verified links emits one edge per fingerprint
-reached, so output stays linear in the rows however dense a group is, and no
-link between components is lost. Edges then go to connected components.
+Rows of one key come to Python sorted, index rows first, in Arrow batches.
+A breadth-first search over the verified links of a key's index rows emits one
+edge per fingerprint reached; probes then pass batch by batch, with one edge to
+each component of index rows they touch. Output so stays linear in the rows, no
+link between components is lost, and memory holds a key's index rows only. A key
+with more than ``HOT`` index rows is split first: its rows are dealt again by
+``tau + 1`` pieces of the bits outside the key, one of which any two rows within
+``tau`` bits have in common. Edges then go to connected components.
 
 Defined cases: a null, empty or blank text has fingerprint zero and links like
-any other; ids may repeat (each row is returned) or be null (a null id is never
-a component's smallest id, and a component of null ids only has a null id); an
-empty table gives no rows; other columns are ignored.
+any other; very long texts are hashed whole, 65536 shingles at a time; a bit set
+in exactly half the hashes is 0; ids may repeat (each row is returned) or be null
+(a null id is never a component's smallest id, and a component of null ids only
+has a null id); an empty table gives no rows; other columns are ignored, whatever
+their names and types.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,6 +45,9 @@ BITS = 64
 SHINGLE = 4
 SEED = 42
 SMALL_RUN = 6
+HOT = 4096
+BROADCAST_ROWS = 1_000_000
+SLICE_BYTES = 8 << 20
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -58,24 +67,29 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     hashes = np.fromiter(
         [digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64, n
     )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the 64-bit hashes have set."""
     counts = np.zeros(BITS, np.int64)
-    for lo in range(0, n, 65536):
+    for lo in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i, c in enumerate(counts.tolist()) if 2 * c > n)
+    return sum(1 << i for i, c in enumerate(counts.tolist()) if 2 * c > len(hashes))
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id long, row long (passed on, or null), fp long (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, row: Column | None = None) -> DataFrame:
+    """doc_id long, row long (the column given, or null), fp long (the fingerprint's bits as a signed long)."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, SLICE_BYTES)):
             fps = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    row = F.col("row").cast("long") if "row" in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
+    own = F.lit(None).cast("long") if row is None else row.cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("row"), "text").mapInArrow(common.tidy(run), "doc_id long, row long, fp long")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -250,6 +264,17 @@ def choose_partitions(n: int, tau: int) -> int:
     return min(range(2, tau + 2), key=cost)
 
 
+def index_keys(classes: DataFrame, parts: list[list[int]]) -> DataFrame:
+    """The key of each fingerprint in each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps in _rows(batches):
+            keys = np.concatenate([_extract(fps, bits) | np.uint64(i << 58) for i, bits in enumerate(parts)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+    return classes.select("fp").mapInArrow(run, "key long")
+
+
 def probe_rows(classes: DataFrame, parts: list[list[int]], tables: list[list[np.ndarray]], n: int, tau: int) -> DataFrame:
     """key long, fp long, is_index boolean: one index row a partition, and the probes of each fingerprint."""
 
@@ -280,107 +305,134 @@ def probe_rows(classes: DataFrame, parts: list[list[int]], tables: list[list[np.
     return classes.select("fp").mapInArrow(run, "key long, fp long, is_index boolean")
 
 
-def _search(fps: np.ndarray, index: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning edges of the verified links of one key's rows; each link has an index row at one end."""
-    order = np.lexsort((~index, fps))
-    fps, index = fps[order], index[order]
-    keep = np.concatenate([[True], fps[1:] != fps[:-1]])
-    fps, index = fps[keep], index[keep]
-    left_i, left_p = fps[index], fps[~index]
-    edges = []
-    while len(left_i):
-        frontier, left_i = left_i[:1], left_i[1:]
-        while len(frontier):
-            f, frontier = frontier[0], frontier[1:]
-            near = np.bitwise_count(left_i ^ f) <= tau
+def split_rows(hot: DataFrame, parts: list[list[int]], tau: int) -> DataFrame:
+    """Rows of hot keys, dealt again by pieces of the bits outside their key's partition."""
+    pieces = []
+    for bits in parts:
+        rest = np.array(sorted(set(range(BITS)) - set(bits)))
+        pieces.append([x.tolist() for x in np.array_split(rest, tau + 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1 << 16):
+                own = batch.slice(lo, 1 << 16)
+                key = own.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+                fps = own.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+                index = own.column("is_index").to_numpy(zero_copy_only=False)
+                for i in np.unique(key >> np.uint64(58)).tolist():
+                    at = key >> np.uint64(58) == i
+                    for j, bits in enumerate(pieces[i]):
+                        value = (key[at] + np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15) ^ _extract(fps[at], bits)
+                        value = (value ^ (value >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(fps[at].view(np.int64)), pa.array(index[at])], ["key", "fp", "is_index"])
+
+    return hot.select("key", "fp", "is_index").mapInArrow(run, "key long, fp long, is_index boolean")
+
+
+def _spread(fps: np.ndarray, tau: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """A component number for each of the distinct ``fps``, and the spanning edges of their links."""
+    label = np.full(len(fps), -1)
+    edges, component = [], 0
+    rest = np.arange(len(fps))
+    while len(rest):
+        frontier, rest = [rest[0]], rest[1:]
+        label[frontier[0]] = component
+        while frontier and len(rest):
+            f = frontier.pop()
+            near = np.bitwise_count(fps[rest] ^ fps[f]) <= tau
             if near.any():
-                found = left_i[near]
-                edges.append((np.full(len(found), f), found))
-                frontier = np.concatenate([frontier, found])
-                left_i = left_i[~near]
-            if len(left_p):
-                near = np.bitwise_count(left_p ^ f) <= tau
-                if near.any():
-                    # A probe row may tie two groups of index rows together: compare it with the rest.
-                    found = left_p[near]
-                    edges.append((np.full(len(found), f), found))
-                    left_p = left_p[~near]
-                    for lo in range(0, len(found), 1024):
-                        if not len(left_i):
-                            break
-                        hit = np.bitwise_count(found[lo : lo + 1024, None] ^ left_i[None, :]) <= tau
-                        any_hit = hit.any(axis=0)
-                        if any_hit.any():
-                            reached = left_i[any_hit]
-                            edges.append((found[lo : lo + 1024][hit[:, any_hit].argmax(axis=0)], reached))
-                            frontier = np.concatenate([frontier, reached])
-                            left_i = left_i[~any_hit]
-    return edges
-
-
-def link_runs(keys: np.ndarray, fps: np.ndarray, index: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among rows sorted by key: small runs by shifted comparison, larger ones by search."""
-    a, b = [], []
-    bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    sizes = np.diff(bounds)
-    size_of = np.repeat(sizes, sizes)
-    small = (size_of > 1) & (size_of <= SMALL_RUN)
-    k, f, x = keys[small], fps[small], index[small]
-    for shift in range(1, min(SMALL_RUN, len(k))):
-        hit = (k[shift:] == k[:-shift]) & (x[shift:] | x[:-shift])
-        hit &= np.bitwise_count(f[shift:] ^ f[:-shift]) <= tau
-        a.append(f[:-shift][hit])
-        b.append(f[shift:][hit])
-    for at, size in zip(bounds[:-1][sizes > SMALL_RUN].tolist(), sizes[sizes > SMALL_RUN].tolist(), strict=True):
-        own = slice(at, at + size)
-        if index[own].any():
-            for u, v in _search(fps[own], index[own], tau):
-                a.append(u)
-                b.append(v)
-    if not a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    u, v = np.concatenate(a), np.concatenate(b)
-    u, v = np.minimum(u, v), np.maximum(u, v)
-    pairs = np.unique(np.stack([u, v], axis=1)[u != v], axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def near_edges(classes: DataFrame, tau: int, partitions: int | None = None) -> DataFrame:
+                found = rest[near]
+                label[found] = component
+                edges.append((np.full(len(found), fps[f]), fps[found]))
+                frontier.extend(found.tolist())
+                rest = rest[~near]
+        component += 1
+    return label, edges
+
+
+class _Key:
+    """The rows of one key as they come: index rows first, then probes."""
+
+    def __init__(self, tau: int):
+        self.tau = tau
+        self.parts: list[np.ndarray] = []
+        self.index: np.ndarray | None = None
+
+    def add(self, fps: np.ndarray, is_index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Verified edges that these rows bring."""
+        self.parts.append(fps[is_index])
+        probes = np.unique(fps[~is_index])
+        if len(probes):
+            yield from self.close()
+        if not len(probes) or not len(self.index):
+            return
+        step = max(1, (1 << 21) // len(self.index))
+        for lo in range(0, len(probes), step):
+            own = probes[lo : lo + step]
+            r, c = np.nonzero(np.bitwise_count(own[:, None] ^ self.index[None, :]) <= self.tau)
+            _, first = np.unique(r * (self.label.max() + 1) + self.label[c], return_index=True)
+            yield own[r[first]], self.index[c[first]]
+
+    def close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.index is None:
+            self.index = np.unique(np.concatenate([*self.parts, np.zeros(0, np.uint64)]))
+            self.parts = []
+            self.label, edges = _spread(self.index, self.tau)
+            yield from edges
+
+
+def _edge_batch(edges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    u = np.concatenate([np.zeros(0, np.uint64), *(e[0] for e in edges)])
+    v = np.concatenate([np.zeros(0, np.uint64), *(e[1] for e in edges)])
+    pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1)[u != v], axis=0).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def link_sorted(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
+    """Edges among rows sorted by key, index rows first: small keys by shifted comparison, others as they come."""
+    key_now, key = None, _Key(tau)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column("key").to_numpy(zero_copy_only=False)
+        f = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        x = batch.column("is_index").to_numpy(zero_copy_only=False)
+        bounds = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+        sizes = np.diff(bounds)
+        small = sizes <= SMALL_RUN
+        small[[0, -1]] = False  # may go on in another batch
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        in_small = np.repeat(small & (sizes > 1), sizes)
+        ks, fs, xs = k[in_small], f[in_small], x[in_small]
+        for shift in range(1, min(SMALL_RUN, len(ks))):
+            hit = (ks[shift:] == ks[:-shift]) & (xs[shift:] | xs[:-shift])
+            hit &= np.bitwise_count(fs[shift:] ^ fs[:-shift]) <= tau
+            edges.append((fs[:-shift][hit], fs[shift:][hit]))
+        for at, size in zip(bounds[:-1][~small].tolist(), sizes[~small].tolist(), strict=True):
+            if key_now != k[at]:
+                edges.extend(key.close())
+                key_now, key = k[at], _Key(tau)
+            for edge in key.add(f[at : at + size], x[at : at + size]):
+                edges.append(edge)
+        yield _edge_batch(edges)
+    yield _edge_batch(list(key.close()))
+
+
+def near_edges(classes: DataFrame, tau: int, partitions: int | None = None, hot: int = HOT) -> DataFrame:
     """Spanning edges (a long, b long) of the graph of fingerprints at most ``tau`` bits apart."""
     common.ship(classes.sparkSession)
     pairs, n = bit_pair_counts(classes)
     parts = group_bits(pairs, n, partitions or choose_partitions(n, tau))
     tables = distance_tables(half_histograms(classes, parts), tau)
     rows = probe_rows(classes, parts, tables, n, tau)
+    hot_keys = common.materialize(index_keys(classes, parts).groupBy("key").count().where(F.col("count") > hot).select("key"), "hot-keys")
+    n_hot = hot_keys.count()
+    if n_hot:
+        hot_keys = F.broadcast(hot_keys) if n_hot <= BROADCAST_ROWS else hot_keys
+        rows = rows.join(hot_keys, "key", "left_anti").unionByName(split_rows(rows.join(hot_keys, "key", "left_semi"), parts, tau))
     tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartition(tasks, "key").sortWithinPartitions("key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def out(k, f, x):
-            a, b = link_runs(k, f, x, tau)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = batch.column("key").to_numpy(zero_copy_only=False)
-            f = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            x = batch.column("is_index").to_numpy(zero_copy_only=False)
-            if held and held[-1][0][-1] == k[0] == k[-1]:
-                held.append((k, f, x))  # the whole batch continues the last key
-                continue
-            held.append((k, f, x))
-            k, f, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            cut = int(np.searchsorted(k, k[-1]))
-            held = [(k[cut:], f[cut:], x[cut:])]
-            if cut:
-                yield out(k[:cut], f[:cut], x[:cut])
-        if held:
-            yield out(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(tasks, "key").sortWithinPartitions("key", F.desc("is_index"))
+    return dealt.mapInArrow(common.tidy(lambda batches: link_sorted(batches, tau)), "a long, b long")
 
 
 def classes_and_components(prints: DataFrame, tau: int) -> DataFrame:
@@ -397,19 +449,3 @@ def near_duplicates(docs: DataFrame, tau: int = 4, width: int = SHINGLE) -> Data
     smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     answer = labelled.join(smallest, "component").select("fp", "component_id")
     return prints.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, tau: int = 4, width: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays."""
-    numbered = common.materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "numbered")
-    prints = common.materialize(
-        fingerprints(numbered.select("_doc.doc_id", "_doc.text", F.col("_row").alias("row")), width), "fingerprints"
-    )
-    answer = classes_and_components(prints, tau).select("fp", "component")
-    # A struct compares field by field: known ids before null ones, small ids first, then the row number.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
-    per_class = prints.groupBy("fp").agg(first)
-    kept = per_class.join(answer, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return numbered.join(kept.hint("shuffle_hash"), "_row", "left_semi").select("_doc.*")
-
-
