@@ -1,45 +1,46 @@
 """Operator 3: exact top-k inner-product search by Fagin's threshold algorithm.
 
 Components become integers, floor(256 x). Vectors are dealt to blocks of about
-``BLOCK`` rows and queries to blocks of about ``QUERY_BLOCK``; every pair of a
-query block and a data block is one bounded task group. In it, each dimension
-has a list sorted by value. A query walks all lists at once from the end that
-is best for the sign of its own component, scores every vector it meets in
+``BLOCK`` rows, and every query is dealt to every block. A task reads a block's
+vectors, builds its lists once and then answers the queries as they come. Each
+dimension has a list sorted by value. A query walks all lists at once from the end
+that is best for the sign of its own component, scores every vector it meets in
 full, and stops when the bound (its product with the values reached) is below
 the k-th best score: no unseen vector can then enter, ties included. The best k
 of each block are merged per query.
 
 Defined cases: vectors that are null or hold a null or non-finite component
 take no part, nor do rows without an id; shorter vectors count as padded with
-zeros; a repeated row counts once, different vectors under one id stand
-separately (as queries too), and no row with the query's id is its candidate;
-fewer than k candidates give fewer rows; an empty table gives none; scores
-beyond a long are clipped to its range; other columns are ignored.
+zeros; every row is a candidate, so a repeated row counts as often as it stands,
+and every row with a query's id is a query of its own with its own ranks; no row
+with the query's id is its candidate; equal scores go by id; fewer than k
+candidates give fewer rows; an empty table gives none; scores beyond a long are
+clipped to its range; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCK = 8192
-QUERY_BLOCK = 1024
 SAFE = 1 << 26
 LONG = np.iinfo(np.int64)
 
 
-def as_matrix(vectors: list) -> np.ndarray:
+def as_matrix(vectors: list, width: int, small: bool) -> np.ndarray:
     """Integers floor(256 x), rows padded with zeros; Python integers where 64 bits might not hold a product sum."""
-    width = max((len(v) for v in vectors), default=0)
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     out = np.floor(256.0 * out)
-    if np.abs(out).max(initial=0) * max(width, 1) ** 0.5 < SAFE:
+    if small:
         return out.astype(np.int64)
     return np.array([[int(x) for x in row] for row in out], dtype=object).reshape(out.shape)
 
@@ -87,60 +88,69 @@ class Lists:
         return list(zip(best_scores.tolist(), self.ids[best_rows].tolist(), strict=True)), scored
 
 
+def search(batches: Iterator[pa.RecordBatch], k: int, width: int, small: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, vectors before queries: one block's vectors are held at a time."""
+    block, ids, vectors, lists = None, [], [], None
+    for batch in batches:
+        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+        asks = batch.column("asks").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1]), [True]]))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = batch.slice(lo, hi - lo)
+            if blocks[lo] != block:
+                block, ids, vectors, lists = blocks[lo], [], [], None
+            if not asks[lo]:
+                ids.extend(own.column("vec_id").to_pylist())
+                vectors.append(as_matrix(own.column("v").to_pylist(), width, small))
+                continue
+            if not ids:
+                continue
+            if lists is None:
+                lists = Lists(np.array(ids), np.concatenate(vectors))
+                vectors = []
+            out: list[tuple[int, int, int, int]] = []
+            matrix = as_matrix(own.column("v").to_pylist(), width, small)
+            for q, row, vector in zip(own.column("vec_id").to_pylist(), own.column("row").to_pylist(), matrix, strict=True):
+                found, _ = lists.top(vector, q, k)
+                out.extend((q, row, i, min(max(s, LONG.min), LONG.max)) for s, i in found)
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "row", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    """query_id, rank, vec_id, score: for every id divisible by ``every`` its k best other rows."""
+    """query_id, rank, vec_id, score: for every row whose id is divisible by ``every`` its k best other rows."""
     common.ship(vectors.sparkSession)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull()
         & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     )
-    v = common.materialize(v.distinct().withColumn("key", F.xxhash64("v")), "vectors")
-    is_query = F.col("vec_id") % F.lit(every) == 0
-    n, n_queries = v.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    data = v.select(
-        F.pmod(F.xxhash64("vec_id", "key"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("query_block"), "vec_id", "v"
-    )
-    queries = v.where(is_query).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-        F.pmod(F.xxhash64("vec_id", "key"), F.lit(query_blocks)).alias("query_block"),
-        "vec_id",
-        "key",
-        "v",
-    )
-
-    def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(asked):
-            matrix = as_matrix([*own["v"], *asked["v"]])
-            lists = Lists(own["vec_id"].to_numpy(), matrix[: len(own)])
-            for q, key, vector in zip(asked["vec_id"].tolist(), asked["key"].tolist(), matrix[len(own) :], strict=True):
-                found, _ = lists.top(vector, q, k)
-                out.extend((q, key, i, min(max(s, LONG.min), LONG.max)) for s, i in found)
-        return pd.DataFrame(out, columns=["query_id", "key", "vec_id", "score"]).astype("int64")
-
-    found = (
-        data.groupBy("block", "query_block")
-        .cogroup(queries.groupBy("block", "query_block"))
-        .applyInPandas(search, "query_id long, key long, vec_id long, score long")
-    )
-    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    v = common.materialize(v.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    size = F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))
+    n, width, largest = v.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(size, F.lit(0.0))).first()
+    small = (256.0 * largest + 1) * max(width, 1) ** 0.5 < SAFE
+    blocks = max(1, -(-n // BLOCK))
+    data = v.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "vec_id", "row", "v")
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    queries = v.where(F.col("vec_id") % F.lit(every) == 0).select(every_block, F.lit(True).alias("asks"), "vec_id", "row", "v")
+    dealt = data.unionByName(queries).repartitionByRange(blocks, "block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(common.tidy(lambda batches: search(batches, k, width, small)), "query_id long, row long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
+  SELECT q.vec_id AS query_id, q.n, d.vec_id AS vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
   FROM v q JOIN v d ON q.vec_id <> d.vec_id
   WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  SELECT query_id, row_number() OVER (PARTITION BY query_id, n ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
   FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
