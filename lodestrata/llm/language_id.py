@@ -4,37 +4,44 @@ Texts are read as UTF-8 bytes in consecutive windows of ``WINDOW`` bytes that
 cover the whole text. A forward and a backward GRU run over each window, a
 softmax labels every position from both states, and a document's probabilities
 are the mean over all its positions. Training is numpy backpropagation through
-time with Adam, on a bounded sample of labelled rows: at most
-``PER_LANGUAGE`` documents per language, chosen by a hash of the id, and
-``WINDOWS_EACH`` windows of each. The weights (some 13,000 floats, whatever the
-corpus) travel with the task.
-
-Defined cases: text null or without a letter gives ``und`` with score 0; with
-no labelled row at all every text is ``und``; repeated rows are each scored;
-null ids count as the text '' in the fold; an empty table gives no rows; other
-columns are ignored.
+time with Adam, on a bounded sample of labelled rows: at most ``PER_LANGUAGE``
+ids for each of at most ``MOST_LANGUAGES`` languages (those of most ids),
+chosen by a hash of the id, one whole text for each. Training passes once at
+least over every window of these texts. The weights (some 13,000 floats,
+whatever the corpus) travel with the task.
+
+Defined cases: text null or without a letter (``str.isalpha``) gives ``und``
+with score 0; with no labelled row at all every text is ``und``; repeated rows
+are each scored, equal texts alike; very long texts are read to their end,
+``SLICE_BYTES`` of text at a time at most beside one text; languages tied on
+probability give the first in sorted order; null ids count as the text '' in
+the fold; an empty table gives no rows; other columns are ignored and keep
+their values under clashing names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW = 64
 HIDDEN = 8
-PER_LANGUAGE = 400
-WINDOWS_EACH = 4
+PER_LANGUAGE = 200
+MOST_LANGUAGES = 256
 STEPS = 160
 BATCH = 160
-LETTER = re.compile(r"[^\W\d_]")
+SLICE_BYTES = 4 << 20
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -127,10 +134,13 @@ def gradients(model: Model, codes: np.ndarray, mask: np.ndarray, labels: np.ndar
     d_logits *= (mask / total)[..., None]
     flat = d_logits.reshape(-1, d_logits.shape[-1])
     grads["bias"] = flat.sum(axis=0)
+    order = np.argsort(codes, axis=None, kind="stable")
+    present, runs = np.unique(codes.ravel()[order], return_index=True)
     for d in "fb":
         grads[f"o{d}"] = states[d].reshape(-1, HIDDEN).T @ flat
         d_states = d_logits @ p[f"o{d}"].T
         carry = np.zeros_like(d_states[0])
+        pushed = np.empty((*codes.shape, 3, HIDDEN), d_states.dtype)
         for t, h, r, z, n in reversed(tapes[d]):
             dh = d_states[t] + carry
             dz = dh * (h - n) * z * (1 - z)
@@ -141,8 +151,10 @@ def gradients(model: Model, codes: np.ndarray, mask: np.ndarray, labels: np.ndar
             grads[f"un{d}"] += (r * h).T @ dn
             grads[f"uz{d}"] += h.T @ dz
             grads[f"ur{d}"] += h.T @ dr
-            for g, v in (("r", dr), ("z", dz), ("n", dn)):
-                np.add.at(grads[f"w{g}{d}"], codes[t], v)
+            pushed[t, :, 0], pushed[t, :, 1], pushed[t, :, 2] = dr, dz, dn
+        by_byte = np.add.reduceat(pushed.reshape(len(order), -1)[order], runs, axis=0)
+        for i, g in enumerate("rzn"):
+            grads[f"w{g}{d}"][present] = by_byte[:, i * HIDDEN : (i + 1) * HIDDEN]
     return loss, grads
 
 
@@ -158,7 +170,7 @@ def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Model | None:
-    """Fit on (text, language) pairs; None without any."""
+    """Fit on (text, language) pairs in ``steps`` batches, or more until every window had its turn; None without any."""
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return None
@@ -167,19 +179,21 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) ->
     codes, lengths, labels = [], [], []
     for text, lang in sorted(samples):
         c, n = windows(text.encode("utf-8", "replace"))
-        for i in rng.permutation(len(c))[:WINDOWS_EACH]:
-            codes.append(c[i])
-            lengths.append(n[i])
-            labels.append(languages.index(lang))
-    if not codes:
+        codes.append(c)
+        lengths.append(n)
+        labels.append(np.full(len(c), languages.index(lang)))
+    all_codes, all_lengths, all_labels = np.concatenate(codes), np.concatenate(lengths), np.concatenate(labels)
+    if not len(all_codes):
         return None
-    all_codes, all_lengths, all_labels = np.array(codes), np.array(lengths), np.array(labels)
     by_label = [np.flatnonzero(all_labels == c) for c in range(len(languages))]
-    by_label = [x for x in by_label if len(x)]
+    by_label = [rng.permutation(x) for x in by_label if len(x)]
+    # Languages weigh alike in a batch; one with fewer windows comes round again.
+    each = max(1, BATCH // len(by_label))
+    steps = max(steps, -(-max(map(len, by_label)) // each))
     first = {k: np.zeros_like(v) for k, v in model.params.items()}
     second = {k: np.zeros_like(v) for k, v in model.params.items()}
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(x, max(1, BATCH // len(by_label))) for x in by_label])
+        pick = np.concatenate([x.take(np.arange((step - 1) * each, step * each), mode="wrap") for x in by_label])
         at = all_codes[pick].T.astype(np.intp)
         mask = (np.arange(WINDOW)[:, None] < all_lengths[pick][None, :]).astype(np.float32)
         _, grads = gradients(model, at, mask, all_labels[pick])
@@ -221,7 +235,7 @@ def classify(model: Model | None, texts: list[str | None], block: int = 4096) ->
         held, waiting = [], 0
 
     for i, text in enumerate(texts):
-        if text is None or not LETTER.search(text):
+        if text is None or not has_letter(text):
             continue
         c, n = windows(text.encode("utf-8", "replace"))
         held.append((c, n, np.full(len(c), i)))
@@ -236,19 +250,24 @@ def classify(model: Model | None, texts: list[str | None], block: int = 4096) ->
     return langs, scores
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts a language outside the held-out fold, chosen by a hash of the id."""
-    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (common.fold("doc_id", 4) != 2))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = (
-        labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        .withColumn("k", F.row_number().over(order))
-        .where(F.col("k") <= per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
-    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").collect()
-    return [(r["text"], r["lang"]) for r in rows if LETTER.search(r["text"])]
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
+    """At most ``per_language`` labelled texts a language outside the held-out fold, chosen by a hash of the id.
+
+    A threshold from a language's number of distinct ids (a sketch, within some per cent)
+    lets about four times as many ids through, as hashes; of these the smallest are taken, and
+    one text for each. Copies of an id meet before the shuffle, so no task gathers a language.
+    """
+    h = F.xxhash64("doc_id").alias("h")
+    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (common.fold("doc_id", 4) != 2)).select("lang", h, "text")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("count")).orderBy(F.desc("count"), "lang").limit(languages)
+    half = float(1 << 63)
+    upto = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count")).alias("upto")
+    may = labelled.drop("text").join(F.broadcast(counts.select("lang", upto)), "lang").where(F.col("h").cast("double") < (F.col("upto") * 2 - 1) * F.lit(half))
+    smallest = F.slice(F.sort_array(F.collect_set("h")), 1, per_language)
+    chosen = may.distinct().groupBy("lang").agg(smallest.alias("hs")).select("lang", F.explode("hs").alias("h"))
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    rows = labelled.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(one).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"])) if has_letter(r["text"])]
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -259,11 +278,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in texts] + [f"{lang_name} string", f"{score_name} double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = classify(model, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_name, score_name])
+        for whole in batches:
+            for batch in common.slices(whole, SLICE_BYTES):
+                langs, scores = classify(model, batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_name, score_name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
