@@ -2,35 +2,39 @@
 
 Three machines are compiled from a model file and composed with each input:
 
-* the *normaliser* puts a word-start mark before the text and turns spaces into it;
+* the *normaliser* rewrites the longest matching key of the model's character map,
+  puts a word-start mark before the text and turns spaces into it;
 * the *lexicon* reads a piece's characters and writes its id;
 * *byte fallback* reads a character that no piece covers and writes its UTF-8 bytes' ids.
 
-Weights live in the tropical semiring and the answer is the shortest path. For
-a unigram model an arc costs minus the piece's log probability. For a BPE model
-the machine's state is the last piece written: an arc to the next piece costs
-one if the two pieces stand side by side after merging their joint characters,
-and infinity if merging would join across them. A path of finite weight then is
-a sequence whose neighbours are all stable, which is the merge result itself,
-for every prefix as well; so one state per position stays live.
+Weights live in the tropical semiring and the answer is the shortest path, found by
+relaxing the composition's arcs from left to right. For a unigram model an arc costs
+minus the piece's log probability and the state is the position. For a BPE model the
+state also holds the last piece written. An arc costs one, or infinity where merging
+would join the two pieces: each piece is compiled to the parts along its left and its
+right edge, with the score at which the merge order absorbs each of them. Two
+neighbouring parts would merge if their union is a piece that comes before the merges
+that absorb either. A path of finite weight then is one whose neighbours all stay
+apart, which is the merge result, for every prefix as well.
 
 No piece holds a word-start mark after another character (checked when the
 model is compiled), so each path passes through every word boundary and words
-are composed one by one, each distinct word once, kept in two bounded
-generations; the same holds between any two characters that no piece holds
+are composed one by one, each distinct word once, kept in two generations
+bounded in bytes; the same holds between any two characters that no piece holds
 side by side. Decoding writes the pieces' bytes and undoes the marks.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
-a text with the mark itself decodes to a space there; repeated rows and ids are
-each encoded; an empty table gives no rows; columns other than those named are
-passed on untouched, and added columns take a free name.
+a text with the mark itself decodes to a space there; decoding gives the
+normalised text, so ``round_trip`` compares with that; where no path is finite each
+character goes to byte fallback; repeated rows and ids are each encoded; very long
+texts are encoded whole; an empty table gives no rows; columns other than those
+named are passed on untouched, and added columns take a free name. Models with
+user-defined symbols are refused.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -42,81 +46,157 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-CACHE = 500_000
-STABLE = 1_500_000
+CACHE_BYTES = 24 << 20
+STABLE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 INFINITE = float("inf")
 
 
+class Normaliser:
+    """The rewriting machine of a model: longest keys of its character map, then white space."""
+
+    def __init__(self, spec, suffix: bool):
+        self.prefix, self.squeeze, self.escape, self.suffix = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, suffix
+        raw = spec.precompiled_charsmap
+        size = int.from_bytes(raw[:4], "little") if raw else 0
+        self.units = np.frombuffer(raw, "<u4", size // 4, 4).tolist() if size else []
+        self.values = raw[4 + size :]
+        self.known: dict[str, tuple[int, str] | None] = {}
+
+    def _longest(self, key: bytes) -> tuple[int, str] | None:
+        """(bytes read, replacement) of the longest key that ``key`` starts with, from the double array."""
+        units, found = self.units, None
+        at = units[0] >> 10 << ((units[0] & 512) >> 6)
+        for i, byte in enumerate(key):
+            unit = units[at ^ byte]
+            if unit & 0x800000FF != byte:
+                break
+            at = at ^ byte ^ (unit >> 10 << ((unit & 512) >> 6))
+            if unit & 256:
+                start = units[at] & 0x7FFFFFFF
+                found = i + 1, self.values[start : self.values.index(0, start)].decode()
+        return found
+
+    def rewrite(self, text: str) -> str:
+        """``text`` with every longest key replaced; other characters are read as they are."""
+        if not self.units:
+            return text
+        out, at, n = [], 0, len(text)
+        while at < n:
+            window = text[at : at + 24]
+            found = self.known.get(window, self)
+            if found is self:
+                hit = self._longest(window.encode("utf-8", "replace"))
+                found = hit and (len(window.encode("utf-8", "replace")[: hit[0]].decode()), hit[1])
+                if len(self.known) >= 4096:
+                    self.known.clear()
+                self.known[window] = found
+            if found:
+                out.append(found[1])
+                at += found[0]
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        space = MARK if self.escape else " "
+        plain = self.rewrite(text)
+        if self.squeeze:
+            plain = re.sub(" +", " ", plain).strip(" ")
+        if not plain:
+            return ""
+        plain = plain.replace(" ", space)
+        if self.prefix:
+            plain = plain + space if self.suffix else space + plain
+        return plain
+
+
 class Transducer:
     """The composed machine of one model file."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        spec = proto.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("only the identity normaliser with escaped white space is compiled")
-        self.prefix = bool(spec.add_dummy_prefix)
+        kinds = pb.ModelProto.SentencePiece
+        if proto.trainer_spec.model_type not in (1, 2) or any(p.type == kinds.USER_DEFINED for p in proto.pieces):
+            raise ValueError("only unigram and BPE models without user-defined symbols are compiled")
+        self.normalise = Normaliser(proto.normalizer_spec, proto.trainer_spec.treat_whitespace_as_suffix)
         self.unigram = proto.trainer_spec.model_type == 1
-        sp = SentencePieceProcessor(model_file=path)
-        size = sp.get_piece_size()
         self.score: dict[str, float] = {}
-        ids: dict[str, int] = {}
+        self.ids: dict[str, int] = {}
         self.byte_id = [-1] * 256
-        self.piece_bytes: list[bytes] = [b""] * size
-        for i in range(size):
-            piece = sp.id_to_piece(i)
-            if sp.is_byte(i):
-                self.byte_id[int(piece[3:5], 16)] = i
-                self.piece_bytes[i] = bytes([int(piece[3:5], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                ids[piece] = i
-                self.score[piece] = sp.get_score(i)
-                self.piece_bytes[i] = piece.replace(MARK, " ").encode()
-        self.unknown = sp.unk_id()
-        self.joined = {pair for p in ids for pair in zip(p, p[1:], strict=False)}
-        self.by_word = not any(MARK in p.lstrip(MARK) for p in ids)
-        # Lexicon: every prefix of a piece, with the piece's id where one ends; a piece must be its own merge result.
-        self.lexicon: dict[str, int] = {}
-        for piece, i in ids.items():
-            for n in range(1, len(piece)):
-                self.lexicon.setdefault(piece[:n], -1)
-            if self.unigram or len(piece) == 1 or self.merge(piece) == [piece]:
-                self.lexicon[piece] = i
-            else:
-                self.lexicon.setdefault(piece, -1)
-        self.ids = ids
+        self.piece_bytes: list[bytes] = [b""] * len(proto.pieces)
+        self.unknown = 0
+        for i, p in enumerate(proto.pieces):
+            if p.type == kinds.BYTE:
+                self.byte_id[int(p.piece[3:5], 16)] = i
+                self.piece_bytes[i] = bytes([int(p.piece[3:5], 16)])
+            elif p.type == kinds.UNKNOWN:
+                self.unknown = i
+                self.piece_bytes[i] = proto.trainer_spec.unk_surface.encode()
+            elif p.type == kinds.NORMAL:
+                self.ids[p.piece] = i
+                self.score[p.piece] = p.score
+                self.piece_bytes[i] = p.piece.replace(MARK, " ").encode()
+        self.fallback = proto.trainer_spec.byte_fallback and self.byte_id[0] >= 0
+        self.unknown_cost = 10.0 - min(self.score.values(), default=0.0)
+        self.joined = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
+        self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        # Lexicon: a node for every prefix of a piece; under "" the piece that ends there, if merging can reach it.
+        self.lexicon: dict = {}
+        self.left: dict[str, list[tuple[str, float]]] = {}
+        self.right: dict[str, list[tuple[str, float]]] = {}
+        for piece in self.ids:
+            if self.unigram or self._edges(piece):
+                node = self.lexicon
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = piece
         self.stable: dict[str, dict[str, bool]] = {}
-        self.n_stable = 0
-        self.limit, self.stable_limit = CACHE, STABLE
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = self.stable_held = 0
 
-    def merge(self, text: str) -> list[str]:
-        """Characters joined by the best-scored pair, leftmost first: what a BPE model's scores define."""
-        parts = list(text)
+    def _edges(self, piece: str) -> bool:
+        """Compiles a piece's left and right edges from its merges; False if merging never gives the piece."""
         score = self.score
+        parts = [(c, [(c, -INFINITE)], [(c, -INFINITE)]) for c in piece]
         while len(parts) > 1:
             best, at = -INFINITE, -1
             for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
+                s = score.get(parts[i][0] + parts[i + 1][0])
                 if s is not None and s > best:
                     best, at = s, i
             if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+                return False
+            (x, x_left, _), (y, _, y_right) = parts[at : at + 2]
+            own = (x + y, -INFINITE)
+            parts[at : at + 2] = [(x + y, [own, (x, best), *x_left[1:]], [own, (y, best), *y_right[1:]])]
+        self.left[piece], self.right[piece] = parts[0][1], parts[0][2]
+        return True
+
+    def apart(self, last: str, piece: str) -> bool:
+        """Whether merging leaves ``last`` and ``piece`` side by side: no two parts at their border join first."""
+        score = self.score
+        near = self.left.get(piece) or [(piece, -INFINITE)]
+        for r, r_until in self.right.get(last) or [(last, -INFINITE)]:
+            for l, l_until in near:
+                s = score.get(r + l)
+                # Of equal scores the leftmost pair merges first.
+                if s is not None and s > r_until and s >= l_until:
+                    return False
+        return True
 
     def weight(self, last: str, piece: str) -> float:
         """Weight of the arc that writes ``piece`` in the state ``last``."""
         if self.unigram:
             s = self.score.get(piece)
-            return -s if s is not None else 10.0 - min(self.score.values(), default=0.0)
+            return self.unknown_cost if s is None else -s
         if not last:
             return 1.0
         known = self.stable.get(last)
@@ -124,77 +204,104 @@ class Transducer:
             known = self.stable[last] = {}
         ok = known.get(piece)
         if ok is None:
-            ok = known[piece] = self.merge(last + piece) == [last, piece]
-            self.n_stable += 1
+            ok = known[piece] = self.apart(last, piece)
+            self.stable_held += 100
         return 1.0 if ok else INFINITE
 
-    def shortest_path(self, text: str) -> list[str]:
-        """Pieces of the path of least weight through ``text`` (already normalised); unknown characters stand alone."""
-        return self._least_sum(text) if self.unigram else self._finite_path(text)
-
     def _arcs(self, text: str, at: int) -> list[str]:
         """The pieces that start at ``at``, short to long; a character without a piece is an arc to byte fallback."""
-        first = text[at]
-        lexicon = self.lexicon
-        found = lexicon.get(first)
-        out = [first]
-        if found is None:
-            return out
-        for e in range(at + 2, len(text) + 1):
-            piece = text[at:e]
-            found = lexicon.get(piece)
-            if found is None:
+        node = self.lexicon.get(text[at])
+        out = [text[at]]
+        for c in text[at + 1 :]:
+            node = node and node.get(c)
+            if not node:
                 break
-            if found >= 0:
+            if (piece := node.get("")) is not None:
                 out.append(piece)
         return out
 
-    def _least_sum(self, text: str) -> list[str]:
-        n = len(text)
-        cost, back = [0.0] + [INFINITE] * n, [""] * (n + 1)
-        for j in range(n):
-            for piece in self._arcs(text, j):
-                total = cost[j] + self.weight("", piece)
-                if total < cost[j + len(piece)]:
-                    cost[j + len(piece)], back[j + len(piece)] = total, piece
+    def shortest_path(self, text: str) -> list[str]:
+        """Pieces of the path of least weight through ``text`` (already normalised); unknown characters stand alone."""
+        return (None if self.unigram else self._only_path(text)) or self._least_path(text)
+
+    def _only_path(self, text: str) -> list[str] | None:
+        """The relaxation where at most one state of finite weight reaches each position; None if two do or none reaches the end."""
+        n, lexicon, stable = len(text), self.lexicon, self.stable
+        reached: list[str | None] = [None] * (n + 1)
+        reached[0] = ""
+        for at in range(n):
+            last = reached[at]
+            if last is None:
+                continue
+            known = stable.get(last)
+            if known is None:
+                known = stable[last] = {}
+            node, end = lexicon, at
+            for c in text[at:]:
+                node = node.get(c)
+                end += 1
+                if node is not None:
+                    piece = node.get("")
+                    if piece is None:
+                        if end > at + 1:
+                            continue
+                        piece = c
+                elif end == at + 1:
+                    piece = c
+                else:
+                    break
+                ok = known.get(piece)
+                if ok is None:
+                    ok = known[piece] = not last or self.apart(last, piece)
+                    self.stable_held += 100
+                if ok:
+                    if reached[end] is not None:
+                        return None
+                    reached[end] = piece
+                if node is None:
+                    break
         out = []
         while n:
-            out.append(back[n])
-            n -= len(back[n])
+            piece = reached[n]
+            if piece is None:
+                return None
+            out.append(piece)
+            n -= len(piece)
         return out[::-1]
 
-    def _finite_path(self, text: str) -> list[str]:
-        """One path at most has finite weight: search depth first, long arcs first, and never enter a dead position twice."""
-        n, at, last = len(text), 0, ""
-        path: list[str] = []
-        waiting: list[list[str]] = []
-        dead: set[int] = set()
-        todo = self._arcs(text, 0) if n else []
-        while at < n:
-            known = self.stable.get(last)
-            while todo:
-                piece = todo.pop()
-                if at + len(piece) in dead:
-                    continue
-                ok = known.get(piece) if known is not None else None
-                if ok or (ok is None and self.weight(last, piece) < INFINITE):
-                    path.append(piece)
-                    waiting.append(todo)
-                    at += len(piece)
-                    last = piece
-                    todo = self._arcs(text, at) if at < n else []
-                    break
-            else:
-                dead.add(at)
-                at -= len(path.pop())
-                last = path[-1] if path else ""
-                todo = waiting.pop()
-        return path
+    def _least_path(self, text: str) -> list[str]:
+        n, weight, unigram = len(text), self.weight, self.unigram
+        # Per position the live states: last piece -> (cost, piece on the arc, state before).
+        live: list[dict[str, tuple[float, str, str]]] = [{} for _ in range(n + 1)]
+        live[0][""] = (0.0, "", "")
+        for at in range(n):
+            if not live[at]:
+                continue
+            arcs = self._arcs(text, at)
+            for last, (cost, _, _) in live[at].items():
+                for piece in arcs:
+                    total = cost + weight(last, piece)
+                    if total == INFINITE:
+                        continue
+                    reached, state = live[at + len(piece)], "" if unigram else piece
+                    old = reached.get(state)
+                    if old is None or total < old[0]:
+                        reached[state] = (total, piece, last)
+        if not live[n]:
+            return list(text)
+        state = min(live[n], key=lambda k: live[n][k][0])
+        out = []
+        while n:
+            _, piece, before = live[n][state]
+            out.append(piece)
+            n -= len(piece)
+            state = before
+        return out[::-1]
 
     def cuts(self, text: str) -> list[str]:
         """``text`` cut wherever no piece holds the two characters side by side: every path passes there."""
         joined = self.joined
-        if all(map(joined.__contains__, zip(text, text[1:], strict=False))):
+        if not self.fallback or all(map(joined.__contains__, zip(text, text[1:], strict=False))):
             return [text]
         out, at = [], 0
         for i, pair in enumerate(zip(text, text[1:], strict=False), 1):
@@ -205,67 +312,71 @@ class Transducer:
         return out
 
     def _ids(self, text: str) -> bytes:
-        out: list[int] = []
         parts = self.cuts(text)
         if len(parts) > 1:
-            for part in parts:
-                if part not in self.words:
-                    old = self.older.get(part)
-                    self.words[part] = self._ids(part) if old is None else old
+            self._learn([part for part in set(parts) if part not in self.words])
             return b"".join([self.words[part] for part in parts])
+        out: list[int] = []
         for piece in self.shortest_path(text):
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
-            elif self.byte_id[0] >= 0:
+            elif self.fallback:
                 out.extend(self.byte_id[b] for b in piece.encode())
-            else:
+            elif not out or out[-1] != self.unknown:  # a run of unknown characters is one id
                 out.append(self.unknown)
         return np.array(out, "<i4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if self.n_stable > self.stable_limit:
-            self.stable, self.n_stable = {}, 0
         for w in words:
             ids = self.older.get(w)
-            self.words[w] = self._ids(w) if ids is None else ids
+            self.words[w] = ids = self._ids(w) if ids is None else ids
+            self.held += 2 * len(w) + len(ids) + 200
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of every whole text."""
-        if len(self.words) > self.limit:  # before the lookups below, which count on what stays
-            self.words, self.older = {}, self.words
+        if self.held > CACHE_BYTES:  # before the lookups below, which count on what stays
+            self.words, self.older, self.held = {}, self.words, 0
+        if self.stable_held > STABLE_BYTES:
+            self.stable, self.stable_held = {}, 0
         split = []
         for text in texts:
-            if not text:
-                split.append([])
-                continue
-            marked = text.replace(" ", MARK)
-            if self.prefix:
-                marked = MARK + marked
-            split.append(RUNS.findall(marked) if self.by_word and marked[0] == MARK else [marked])
+            marked = self.normalise(text) if text else ""
+            split.append(RUNS.findall(marked) if self.by_word and marked[:1] == MARK else [marked] if marked else [])
         needed = set().union(*split) if split else set()
         self._learn([w for w in needed if w not in self.words])
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def forget(self) -> None:
+        """Drops what was learned from texts; the compiled machine stays."""
+        self.words, self.older, self.stable = {}, {}, {}
+        self.held = self.stable_held = 0
+
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.piece_bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+        if self.normalise.prefix:
+            raw = raw[:-1] if self.normalise.suffix and raw[-1:] == b" " else raw[1:] if raw[:1] == b" " else raw
+        return raw.decode("utf-8", "replace")
+
+    def plain(self, text: str | None) -> str:
+        """What decoding gives back of ``text``: its normal form without marks."""
+        t = self.normalise.rewrite(text or "").replace(MARK, " ")
+        return re.sub(" +", " ", t).strip(" ") if self.normalise.squeeze else t
 
 
 def transducer(path: str) -> Transducer:
     """The machine of ``path``, compiled once per worker process."""
-    held = sys.modules.setdefault("lodestrata_process_cache", types.ModuleType("lodestrata_process_cache")).__dict__.setdefault("transducers", {})
+    held = common.process_cache().setdefault("transducers", {})
     if path not in held:
         held[path] = Transducer(path)
     return held[path]
 
 
-def encode(docs: DataFrame, model: str, words_kept: int = CACHE) -> DataFrame:
+def encode(docs: DataFrame, model: str) -> DataFrame:
     """All columns of ``docs`` and ids array<int>, n_tokens, n_fallback, ids_crc32, decoded_crc32, round_trip.
 
-    ``words_kept`` bounds each generation of a worker's word cache (some 200 bytes a word, two
-    generations): fewer words cost CPU time, more cost memory that stays with the idle worker.
+    A worker keeps the compiled machine for its next task, and forgets the words it learned when a task ends.
     """
     common.ship(docs.sparkSession)
     added = {
@@ -281,12 +392,10 @@ def encode(docs: DataFrame, model: str, words_kept: int = CACHE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
-        machine.limit, machine.stable_limit = words_kept, 3 * words_kept
         is_byte = np.zeros(len(machine.piece_bytes), bool)
         is_byte[[b for b in machine.byte_id if b >= 0]] = True
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            for batch in common.slices(whole, SLICE_BYTES):
                 texts = batch.column("text").to_pylist()
                 coded = machine.encode(texts)
                 decoded = [machine.decode(c) for c in coded]
@@ -302,12 +411,13 @@ def encode(docs: DataFrame, model: str, words_kept: int = CACHE) -> DataFrame:
                         pa.array(fallback[ends[1:]] - fallback[ends[:-1]]),
                         pa.array([zlib.crc32(c) for c in coded], pa.int64()),
                         pa.array([zlib.crc32(t.encode("utf-8", "replace")) for t in decoded], pa.int64()),
-                        pa.array([a == (b or "").replace(MARK, " ") for a, b in zip(decoded, texts, strict=True)]),
+                        pa.array([a == machine.plain(b) for a, b in zip(decoded, texts, strict=True)], pa.bool_()),
                     ],
                     [*batch.schema.names, *names],
                 )
+        machine.forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
 
 
 def sentencepiece(docs: DataFrame, model: str) -> DataFrame:
