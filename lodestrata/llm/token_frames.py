@@ -14,17 +14,17 @@ that a successful task returned are ever read, so retries and lost executors
 leave no partial file in the result.
 
 Defined cases: a null text counts as empty and is written as the single end
-id; repeated ids are kept as separate documents (ordered by the bytes of their
-text); null ids sort first; an empty table writes nothing and gives no rows;
-other columns are ignored.
+id; the text of a special token gets that token's id, as the library's plain call
+gives it; repeated ids are kept as separate documents (ordered by a hash of their
+text, then by the text); null ids sort first; a very long text is one document of
+one frame; an empty table writes nothing and gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,17 +40,14 @@ SKIPPABLE_INDEX = 0x184D2A5D
 SKIPPABLE_SEEK = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 FRAME_BYTES = 1 << 20
-CACHE_ENTRIES = 600_000
+CACHE_BYTES = 24 << 20
+FILE_BYTES = 64 << 20
+SLICE_BYTES = 8 << 20
 ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 WIDE_SPACE = [c for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
 NULL_ID = -(1 << 63)
 
 
-def _process_cache() -> types.ModuleType:
-    """A module-level store that lives as long as the worker process."""
-    return sys.modules.setdefault("lodestrata_process_cache", types.ModuleType("lodestrata_process_cache"))
-
-
 class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct space-delimited word once.
 
@@ -61,14 +58,13 @@ class Encoder:
     byte length of every id tells where one word's ids end. Texts with other
     white space (tabs, doubled spaces, spaces beside line ends) or the text of a
     special token are encoded whole. Words are kept in two generations of
-    ``CACHE_ENTRIES``, so memory stays bounded and frequent words stay.
+    ``CACHE_BYTES``, so memory stays bounded and frequent words stay.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         alphabet = byte_alphabet()
         size = self.tokenizer.get_vocab_size()
@@ -77,6 +73,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
+        self.held = self.heads_held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -91,6 +88,7 @@ class Encoder:
                 fresh.append(w)
             else:
                 self.words[w] = ids
+        self.held += sum(map(len, words)) + 220 * len(words)
         for lo in range(0, len(fresh), 20_000):
             part = fresh[lo : lo + 20_000]
             raw = self._encode([" " + " ".join(part)])[0]
@@ -105,8 +103,8 @@ class Encoder:
                 at = cut
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE_ENTRIES:  # before the lookups below, which count on what stays
-            self.words, self.older = {}, self.words
+        if self.held > CACHE_BYTES:  # before the lookups below, which count on what stays
+            self.words, self.older, self.held = {}, self.words, 0
         out: list[bytes | None] = [None] * len(texts)
         whole: list[int] = []
         parts: list[tuple[int, list[str]]] = []
@@ -122,9 +120,10 @@ class Encoder:
                 heads.append(words[0])
             needed.update(words)
         self._learn([w for w in needed if w and w not in self.words])
-        if len(self.heads) > CACHE_ENTRIES:
-            self.heads.clear()
+        if self.heads_held > CACHE_BYTES // 4:
+            self.heads, self.heads_held = {}, 0
             heads = [words[0] for _, words in parts]
+        self.heads_held += sum(map(len, heads)) + 220 * len(heads)
         self.heads.update(zip(heads, self._encode(heads), strict=True))
         get = self.words.__getitem__
         for i, words in parts:
@@ -151,7 +150,7 @@ def odd_space(text: str) -> bool:
 
 
 def encoder(path: str) -> Encoder:
-    held = _process_cache().__dict__.setdefault("encoders", {})
+    held = common.process_cache().setdefault("encoders", {})
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
@@ -252,25 +251,40 @@ class FrameReader:
         ]
 
 
+def _qualified(spark: SparkSession, directory: str) -> str:
+    """``directory`` with its scheme, as Spark resolves it: without one it is on the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
     return fs.FileSystem.from_uri(uri)
 
 
+def file_count(docs: DataFrame) -> int:
+    """One file for each ``FILE_BYTES`` of text; small corpora still give every task slot a megabyte or more."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    slots = docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // FILE_BYTES), min(4 * slots, size >> 20))
+
+
 def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: int = 0, files: int | None = None) -> DataFrame:
     """Encode every text and write files in ascending id order; one manifest row per file."""
     spark = docs.sparkSession
     common.ship(spark)
-    files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = files or file_count(docs)
+    directory = _qualified(spark, directory)
+    # Ranges go by numbers only: their sample reaches the driver, and texts must not.
+    text = F.coalesce("text", F.lit(""))
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(files, "doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+        .repartitionByRange(files, "doc_id", "h")
+        .sortWithinPartitions("doc_id", "h", "text")
+        .drop("h")
         .withColumn("part", F.spark_partition_id())
     )
     end = struct.pack("<I", end_id)
@@ -289,8 +303,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: i
                 sink = target.open_output_stream(f"{name}.writing")
                 writer = FrameWriter(sink)
             encode = encoder(tokenizer)
-            for lo in range(0, batch.num_rows, 1024):
-                piece = batch.slice(lo, 1024)
+            for piece in common.slices(batch, SLICE_BYTES):
                 for d, ids in zip(piece.column("doc_id").to_pylist(), encode(piece.column("text").to_pylist()), strict=True):
                     writer.add(d, ids + end)
                     documents += 1
@@ -303,15 +316,16 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: i
                 {"part": pa.array([part], pa.int32()), "file": [f"{name.rpartition('/')[2]}.tok.zst"], "documents": pa.array([documents], pa.int64()), "tokens": pa.array([tokens], pa.int64())}
             )
 
-    return ordered.mapInArrow(write, "part int, file string, documents long, tokens long")
+    return ordered.mapInArrow(common.tidy(write), "part int, file string, documents long, tokens long")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, directory: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files that the manifest names."""
     common.ship(spark)
+    directory = _qualified(spark, directory)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     starts = manifest.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, path = _filesystem(directory)
