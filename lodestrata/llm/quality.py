@@ -1,24 +1,27 @@
 """Operator 8: quality classifier by naive Bayes support vectors (NB-SVM).
 
-Features are indicators of n-grams, n = 1 to 3, over the *form* of the words:
-each word becomes a symbol made of its case pattern, trailing punctuation,
-length class and whether it repeats one of the two words before it. Invented
-or unseen words thus share features with known ones. N-grams are hashed to
-``BINS`` bins.
+Features are indicators of n-grams, hashed to ``BINS`` bins: of the words
+themselves (lower-cased, without trailing punctuation; n = 1 and 2) and of
+their *form* (n = 1 to 3). The form of a word is its case pattern, trailing
+punctuation, length class and whether it repeats one of the two words before
+it, so that invented or unseen words share features with known ones.
 Indicators are scaled by the log-count ratio of their bin between the classes,
 a linear hinge loss is fitted on them by dual coordinate descent, the weights
 are interpolated with their mean magnitude, and a logistic curve fitted on the
 training margins turns the margin into a score.
 
-The labelled rows to learn from are bounded: at most ``MAX_LABELLED``, chosen by
-a hash of the id. Scoring reads every whole text. The model is one float per
-bin, whatever the corpus.
+The labelled rows to learn from are bounded: at most ``MAX_LABELLED`` pairs of an
+id and a label, chosen by a hash of the id, one text for each (of rows that share
+an id the text with the smallest hash). Scoring reads every whole text. The model
+is one float per bin, whatever the corpus.
 
 Defined cases: null and empty texts have no features and get the score of the
 intercept; without labels of both classes every score is the share of label 1
 (0.5 without labels); ids with several labels count once per distinct label;
-repeated rows are each scored; an empty table gives no rows; other columns are
-ignored.
+repeated rows are each scored, equal texts alike; very long texts are read whole,
+``SLICE_BYTES`` of text at a time at most beside one text; of labels tied on an id
+and its hash the smaller comes first; an empty table gives no rows; other columns
+are ignored and keep their values under clashing names.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ from . import common
 BINS = 1 << 18
 MAX_LABELLED = 3000
 CUT = 0.3
-CACHE = 400_000
+CACHE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,14 +62,38 @@ def symbol(word: str) -> int:
 
 
 class FormCache(dict):
+    """word -> its form in the high half and the word itself in the low half of 64 bits; bounded in bytes."""
+
+    held = 0
+
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
+        if self.held > CACHE_BYTES:
             self.clear()
-        self[word] = out = symbol(word)
+            self.held = 0
+        core = word.rstrip(".,;:!?*").lower() or word
+        self[word] = out = symbol(word) << 32 | zlib.crc32(core.encode("utf-8", "surrogatepass"))
+        self.held += 2 * len(word) + 200
         return out
 
 
-def features(texts: list[str | None], forms: FormCache) -> tuple[np.ndarray, np.ndarray]:
+def _bins(gram: np.ndarray, kind: int) -> np.ndarray:
+    mixed = (gram ^ (gram >> np.uint64(31))) * MULT + np.uint64(kind)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * MULT
+    return (mixed >> np.uint64(46)).astype(np.int64)
+
+
+def _grams(sym: np.ndarray, doc: np.ndarray, most: int, kind: int) -> Iterator[np.ndarray]:
+    """doc * BINS + bin of every n-gram inside a text, n = 1 to ``most``."""
+    gram = sym
+    for size in range(1, min(most, len(sym)) + 1):
+        if size > 1:
+            gram = gram[:-1] * MULT + sym[size - 1 :]
+        first, last = doc[: len(doc) - size + 1], doc[size - 1 :]
+        inside = first == last
+        yield first[inside] * BINS + _bins(gram[inside], kind + size)
+
+
+def features(texts: list[str | None], forms: FormCache, with_words: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bin) of every distinct feature, sorted by text."""
     words: list[str] = []
     counts = np.zeros(len(texts), np.int64)
@@ -76,28 +104,15 @@ def features(texts: list[str | None], forms: FormCache) -> tuple[np.ndarray, np.
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sym = np.fromiter(map(forms.__getitem__, words), np.uint64, n)
-    ident = np.fromiter(map(hash, words), np.int64, n)
+    both = np.fromiter(map(forms.__getitem__, words), np.uint64, n)
     doc = np.repeat(np.arange(len(texts)), counts)
     repeat = np.zeros(n, np.uint64)
     for back in (1, 2):
-        same = (ident[back:] == ident[:-back]) & (doc[back:] == doc[:-back])
+        same = (both[back:] == both[:-back]) & (doc[back:] == doc[:-back])
         repeat[back:] += same.astype(np.uint64) << np.uint64(back - 1)
-    sym = sym * np.uint64(4) + repeat
-    keys = []
-    gram = sym
-    for size in (1, 2, 3):
-        if size > 1:
-            gram = gram[:-1] * MULT + sym[size - 1 :]
-            inside = doc[size - 1 :] == doc[: n - size + 1]
-            g, d = gram[inside], doc[size - 1 :][inside]
-        else:
-            g, d = gram, doc
-        mixed = (g ^ (g >> np.uint64(31))) * MULT + np.uint64(size)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * MULT
-        keys.append(d * BINS + (mixed >> np.uint64(46)).astype(np.int64))
-        if n <= size:
-            break
+    keys = list(_grams((both >> np.uint64(32)) * np.uint64(4) + repeat, doc, 3, 0))
+    if with_words:
+        keys += _grams(both & np.uint64(0xFFFFFFFF), doc, 2, 8)
     found = np.unique(np.concatenate(keys))
     return found // BINS, found % BINS
 
@@ -146,13 +161,13 @@ def dual_coordinate_descent(indptr: np.ndarray, idx: np.ndarray, val: np.ndarray
     return w, b
 
 
-def train(texts: list[str | None], labels: list[int], c: float = 1.0, epochs: int = 30, beta: float = 0.5, seed: int = 11) -> Model:
+def train(texts: list[str | None], labels: list[int], c: float = 1.0, epochs: int = 30, beta: float = 0.5, seed: int = 11, with_words: bool = True) -> Model:
     y = np.array([1.0 if v == 1 else -1.0 for v in labels])
     share = float((y > 0).mean()) if len(y) else 0.5
     flat = Model(np.zeros(BINS), 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     if not len(y) or share in (0.0, 1.0):
         return flat
-    rows, bins = features(texts, FormCache())
+    rows, bins = features(texts, FormCache(), with_words)
     p = 1 + np.bincount(bins[y[rows] > 0], minlength=BINS)
     q = 1 + np.bincount(bins[y[rows] < 0], minlength=BINS)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
@@ -183,9 +198,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     """At most ``most`` labelled texts outside the held-out fold, chosen by a hash of the id."""
     known = labels.where(F.col("quality").isNotNull() & (common.fold("doc_id", 5) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"] or ""))
-    rows = rows[: 2 * most]  # ids may repeat in the documents
+    # One text for each pair, whatever the copies of an id: map-side aggregation, so at most ``most`` rows a task leave it.
+    text = F.min_by("text", F.xxhash64("text")).alias("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(text).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     return [r["text"] for r in rows], [r["quality"] for r in rows]
 
 
@@ -199,12 +215,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = FormCache()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            for batch in common.slices(whole, SLICE_BYTES):
                 s = light.scores(batch.column("text").to_pylist(), forms)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32))], [*batch.schema.names, score_name, predicted_name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
