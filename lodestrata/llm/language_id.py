@@ -270,6 +270,13 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"])) if has_letter(r["text"])]
 
 
+def fit(docs: DataFrame) -> Model | None:
+    """The network of a bounded sample, trained on the driver, which then gives its memory back."""
+    model = train(training_sample(docs))
+    common.give_back()
+    return model
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` (all columns) with ``lang_pred`` and ``score`` added."""
     common.ship(docs.sparkSession)
@@ -288,6 +295,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
-    model = train(training_sample(docs))
+    model = fit(docs)
     found = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (common.fold("doc_id", 4) == 2).alias("held_out")), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")

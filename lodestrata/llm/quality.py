@@ -42,6 +42,7 @@ MAX_LABELLED = 3000
 CUT = 0.3
 CACHE_BYTES = 16 << 20
 SLICE_BYTES = 4 << 20
+TRAIN_SLICE = 256
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,18 +168,28 @@ def train(texts: list[str | None], labels: list[int], c: float = 1.0, epochs: in
     flat = Model(np.zeros(BINS), 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     if not len(y) or share in (0.0, 1.0):
         return flat
-    rows, bins = features(texts, FormCache(), with_words)
-    p = 1 + np.bincount(bins[y[rows] > 0], minlength=BINS)
-    q = 1 + np.bincount(bins[y[rows] < 0], minlength=BINS)
+    forms = FormCache()
+    counts, parts = [], []
+    for lo in range(0, len(texts), TRAIN_SLICE):  # a slice at a time, as the driver holds few texts' words at once
+        own = texts[lo : lo + TRAIN_SLICE]
+        rows, bins = features(own, forms, with_words)
+        counts.append(np.bincount(rows, minlength=len(own)))
+        parts.append(bins.astype(np.int32))
+    sizes, bins = np.concatenate(counts), np.concatenate(parts)
+    positive = np.repeat(y > 0, sizes)
+    p = 1 + np.bincount(bins[positive], minlength=BINS)
+    q = 1 + np.bincount(bins[~positive], minlength=BINS)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[(p == 1) & (q == 1)] = 0  # bins never seen say nothing
-    indptr = np.searchsorted(rows, np.arange(len(y) + 1))
-    sizes = np.sqrt(np.maximum(np.diff(indptr), 1))
-    w, b = dual_coordinate_descent(indptr, bins, ratio[bins] / sizes[rows], y, c, epochs, seed)
+    indptr = np.concatenate([[0], np.cumsum(sizes)])
+    scale = 1 / np.sqrt(np.maximum(sizes, 1))
+    val = ratio.astype(np.float32)[bins] * np.repeat(scale.astype(np.float32), sizes)
+    w, b = dual_coordinate_descent(indptr, bins, val, y, c, epochs, seed)
     seen = (p > 1) | (q > 1)
     w = np.where(seen, (1 - beta) * np.abs(w[seen]).mean() + beta * w, 0.0)
     model = Model(w * ratio, beta * b, 1.0, 0.0)
-    m = model.margins(texts, FormCache())
+    sums = np.add.reduceat(np.concatenate([model.weights[bins], [0.0]]), indptr[:-1]) * (sizes > 0)
+    m = model.bias + sums * scale
     target = (y + 1) / 2
     a, s = 1.0, 0.0
     for _ in range(50):  # Newton steps of the logistic curve
@@ -205,6 +216,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     return [r["text"] for r in rows], [r["quality"] for r in rows]
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of a bounded sample, trained on the driver, which then gives its memory back."""
+    model = train(*training_sample(docs, labels))
+    common.give_back()
+    return model
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` (all columns) with ``score`` and ``predicted`` added."""
     common.ship(docs.sparkSession)
@@ -224,6 +242,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    model = train(*training_sample(docs, labels))
+    model = fit(docs, labels)
     found = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (common.fold("doc_id", 5) == 0).alias("held_out")), model)
     return found.select("doc_id", "held_out", "score", "predicted")
