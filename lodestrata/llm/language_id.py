@@ -37,7 +37,7 @@ PER_LANGUAGE = 200
 MOST_LANGUAGES = 256
 STEPS = 160
 BATCH = 160
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def has_letter(text: str) -> bool:
@@ -207,7 +207,7 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) ->
     return model
 
 
-def classify(model: Model | None, texts: list[str | None], block: int = 4096) -> tuple[list[str], list[float]]:
+def classify(model: Model | None, texts: list[str | None], block: int = 2048) -> tuple[list[str], list[float]]:
     """Language and pooled probability of each whole text."""
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     if model is None:
@@ -240,7 +240,7 @@ def classify(model: Model | None, texts: list[str | None], block: int = 4096) ->
         c, n = windows(text.encode("utf-8", "replace"))
         held.append((c, n, np.full(len(c), i)))
         waiting += len(c)
-        if waiting >= 8 * block:
+        if waiting >= 2 * block:
             flush()
     flush()
     for i in np.flatnonzero(counts):

@@ -46,9 +46,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-CACHE_BYTES = 24 << 20
-STABLE_BYTES = 16 << 20
-SLICE_BYTES = 4 << 20
+CACHE_BYTES = 16 << 20
+STABLE_BYTES = 12 << 20
+SLICE_BYTES = 1 << 20
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 INFINITE = float("inf")
 
@@ -348,11 +348,6 @@ class Transducer:
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def forget(self) -> None:
-        """Drops what was learned from texts; the compiled machine stays."""
-        self.words, self.older, self.stable = {}, {}, {}
-        self.held = self.stable_held = 0
-
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.piece_bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))
         if self.normalise.prefix:
@@ -365,18 +360,11 @@ class Transducer:
         return re.sub(" +", " ", t).strip(" ") if self.normalise.squeeze else t
 
 
-def transducer(path: str) -> Transducer:
-    """The machine of ``path``, compiled once per worker process."""
-    held = common.process_cache().setdefault("transducers", {})
-    if path not in held:
-        held[path] = Transducer(path)
-    return held[path]
-
-
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """All columns of ``docs`` and ids array<int>, n_tokens, n_fallback, ids_crc32, decoded_crc32, round_trip.
 
-    A worker keeps the compiled machine for its next task, and forgets the words it learned when a task ends.
+    Each task compiles the machine (about a second) and drops it with the words it learned when its rows end, so
+    that idle workers hold nothing.
     """
     common.ship(docs.sparkSession)
     added = {
@@ -391,7 +379,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{n} {t}" for n, t in zip(names, added.values(), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(model)
+        machine = Transducer(model)
         is_byte = np.zeros(len(machine.piece_bytes), bool)
         is_byte[[b for b in machine.byte_id if b >= 0]] = True
         for whole in batches:
@@ -415,7 +403,6 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                     ],
                     [*batch.schema.names, *names],
                 )
-        machine.forget()
 
     return docs.mapInArrow(common.tidy(run), schema)
 

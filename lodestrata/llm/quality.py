@@ -40,8 +40,8 @@ from . import common
 BINS = 1 << 18
 MAX_LABELLED = 3000
 CUT = 0.3
-CACHE_BYTES = 16 << 20
-SLICE_BYTES = 4 << 20
+CACHE_BYTES = 12 << 20
+SLICE_BYTES = 1 << 20
 TRAIN_SLICE = 256
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
