@@ -36,6 +36,25 @@ def grade(coverage_: Column, longest: Column, allowed: float) -> Column:
     return F.when(coverage_ <= 0, "no_data").when(longest > allowed, "gaps").otherwise("ok")
 
 
+def two_witnesses(first: Column, second: Column, second_coverage: Column, passed: Column) -> tuple[Column, Column]:
+    """(state, whether the witnesses agree) of a first witness checked against a second one.
+
+    A null first state leaves the second's, with nothing to agree on; a null second
+    state is 'no_data'. The second's data show that the instrument recorded; its gap,
+    or its silence in a window that it has already ``passed``, makes a good window
+    'gaps'; where it has not come so far, its silence says nothing against the first.
+    """
+    other, covered = F.coalesce(second, F.lit("no_data")), F.coalesce(second_coverage, F.lit(0.0))
+    silent = other == "no_data"
+    state = (
+        F.when(first.isNull(), other)
+        .when((first == "no_data") & (covered > 0), other)
+        .when((first == "ok") & ((other == "gaps") | (silent & passed)), "gaps")
+        .otherwise(first)
+    )
+    return state, F.when(first.isNotNull(), (first == other) | (silent & ~passed))
+
+
 def severity(state: Column) -> Column:
     return F.when(state == "ok", 0).when(state == "gaps", 1).when(state == "no_data", 2)
 

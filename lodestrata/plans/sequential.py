@@ -4,28 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking
+from ..operators import chunking, sites
 from ..sources.tables import load
 from .registry import query
 
+_CUT = """CASE WHEN {a} + 450 >= n THEN n ELSE coalesce(list_max(list_filter(generate_series({a} + 371, {a} + 450), lambda i: right(w[i], 1) IN ('.', '!', '?', ':', ';', ')'))), {a} + 450) END"""
 
-@query()
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS w FROM documents), e AS (SELECT doc_id, w, len(w) AS n FROM d WHERE len(w) > 650),
+c(doc_id, chunk, a, b) AS (SELECT doc_id, 0::BIGINT, 0::BIGINT, {_CUT.format(a=0)} FROM e UNION ALL SELECT doc_id, chunk + 1, a, {_CUT.format(a='a')} FROM (SELECT c.doc_id, chunk, greatest(c.a + 1, c.b - 60) AS a, w, n FROM c JOIN e USING (doc_id) WHERE c.b < n))
+SELECT doc_id, chunk, md5(array_to_string(w[a + 1:b], ' ')) AS digest FROM c JOIN e USING (doc_id) UNION ALL SELECT doc_id, 0, md5(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 650""")
 def sentence_chunks(spark, sf):
-    c = chunking.chunk(load(spark, sf, "documents"), "doc_id", "text")
-    return c.select("doc_id", "chunk", F.md5("body").alias("digest"))
+    words = F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), 1)
+    d = load(spark, sf, "documents").select("doc_id", words.alias("w"))
+    c = d.select("doc_id", F.posexplode_outer(chunking.sentence_chunks(F.col("w"))).alias("chunk", "body")).where("body IS NOT NULL")
+    return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5("body").alias("digest"))
 
 
-@query()
+# Lines become blocks, and lines that begin with A to E become headings.
+_BLOCKS = r"regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '\n\n([A-E])', chr(10) || chr(10) || '# \1', 'g')"
+
+
+@query(rf"""WITH RECURSIVE b AS (SELECT doc_id, source, unnest(x) AS block, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, source, string_split({_BLOCKS}, chr(10) || chr(10)) AS x FROM documents)),
+h AS (SELECT *, sum(starts_with(block, '#')::INT) OVER w AS section, coalesce(last_value(CASE WHEN starts_with(block, '#') THEN trim(regexp_replace(block, '^[# ]+', '')) END IGNORE NULLS) OVER w, source) AS heading FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT doc_id, section, heading, flatten(list(regexp_extract_all(block, '[^ \t\n\r]+') ORDER BY pos)) AS w FROM h WHERE NOT starts_with(block, '#') GROUP BY ALL),
+t AS (SELECT doc_id, section, heading, w, unnest(generate_series(0, greatest(0, ceil((len(w) - 520) / 470.0)::BIGINT) * 470, 470)) AS a FROM s WHERE len(w) > 0),
+u AS (SELECT doc_id, heading, 1 + len(regexp_extract_all(heading, '[^ \t\n\r]+')) + len(w[a + 1:a + 520]) AS n, '## ' || heading || chr(10) || chr(10) || array_to_string(w[a + 1:a + 520], ' ') AS body, row_number() OVER (PARTITION BY doc_id ORDER BY section, a) AS i FROM t),
+p(doc_id, i, part, held) AS (SELECT doc_id, i, 0, n FROM u WHERE i = 1 UNION ALL SELECT u.doc_id, u.i, CASE WHEN held + n > 600 THEN part + 1 ELSE part END, CASE WHEN held + n > 600 THEN n ELSE held + n END FROM p JOIN u ON u.doc_id = p.doc_id AND u.i = p.i + 1)
+SELECT u.doc_id, part AS chunk, sum(n)::BIGINT AS words, count(DISTINCT heading) AS headings, md5(string_agg(body, chr(10) || chr(10) ORDER BY u.i)) AS digest FROM u JOIN p ON u.doc_id = p.doc_id AND u.i = p.i GROUP BY u.doc_id, part""")
 def heading_chunks(spark, sf):
-    c = chunking.chunk(load(spark, sf, "documents"), "doc_id", "text", by="heading")
-    return c.select("doc_id", "chunk", "heading", F.md5("body").alias("digest"))
+    blocks = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("\n\n")), "\n\n([A-E])", "\n\n# $1")
+    c = chunking.heading_chunks(load(spark, sf, "documents").select("doc_id", "source", blocks.alias("blocks")), "doc_id", "blocks", "source")
+    return c.select("doc_id", "chunk", "words", F.size("headings").cast("long").alias("headings"), F.md5("body").alias("digest"))
 
 
 @query()
 def site_clusters(spark, sf):
     k = F.col("s_suppkey")
-    sites = load(spark, sf, "supplier").select(k.alias("id"), (k * 7 % 50 * 0.001).alias("lat"), (k * 13 % 50 * 0.001).alias("lon"), F.col("s_nationkey").alias("region"))
-    return chunking.cluster_sites(sites, "region")
+    code = F.when(k % 3 > 0, F.concat(F.lit("S"), (k % 3).cast("string")))
+    return sites.cluster_sites(load(spark, sf, "supplier").select(k.cast("long").alias("id"), (45 + k * 7 % 50 * 0.001).alias("lat"), (-130 + k * 13 % 50 * 0.001).alias("lon"), code.alias("code")))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_brand, p_size, lower(p_name || ' ' || p_type) AS title FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.title, b.title) * 1.0 / greatest(length(a.title), length(b.title)), 6) AS ratio

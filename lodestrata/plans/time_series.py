@@ -47,22 +47,20 @@ def worst_of_group(spark, sf):
 
 
 @query(f"""WITH {_DAILY_SQL}, g AS (SELECT *, CASE WHEN coverage <= 0 THEN 'no_data' WHEN longest_gap_min > 90 THEN 'gaps' ELSE 'ok' END AS state FROM daily)
-SELECT coalesce(p.day, q.day) AS day,
- CASE WHEN p.state IS NULL THEN q.state WHEN p.state = 'no_data' AND q.coverage > 0 THEN q.state
-      WHEN p.state = 'ok' AND q.state = 'gaps' THEN 'gaps' WHEN p.state = 'ok' AND q.state = 'no_data' THEN 'gaps' ELSE p.state END AS state,
- coalesce(p.state = q.state, false) AS agree
-FROM (SELECT * FROM g WHERE event_type = 'click') p FULL OUTER JOIN (SELECT * FROM g WHERE event_type = 'view') q ON p.day = q.day""")
+, x AS (SELECT coalesce(p.day, q.day) AS day, p.state AS s1, coalesce(q.state, 'no_data') AS s2, coalesce(q.coverage, 0) AS c2, newest >= (coalesce(p.day, q.day) + 1) * 86400.0 AS passed
+FROM (SELECT * FROM g WHERE event_type = 'click' AND day % 5 <> 0) p FULL OUTER JOIN (SELECT * FROM g WHERE event_type = 'view' AND day % 7 <> 0) q ON p.day = q.day, (SELECT max(last) AS newest FROM g WHERE event_type = 'view'))
+SELECT day, CASE WHEN s1 IS NULL THEN s2 WHEN s1 = 'no_data' AND c2 > 0 THEN s2 WHEN s1 = 'ok' AND s2 = 'gaps' THEN 'gaps' WHEN s1 = 'ok' AND s2 = 'no_data' AND passed THEN 'gaps' ELSE s1 END AS state,
+ CASE WHEN s1 IS NULL THEN NULL ELSE s1 = s2 OR (s2 = 'no_data' AND NOT passed) END AS agree FROM x""")
 def two_witness_state(spark, sf):
+    """Days that one of the witnesses did not report (every fifth, every seventh) show what a missing state does."""
     g = _daily(spark, sf).withColumn("state", intervals.grade(F.col("coverage"), F.col("longest_gap_min"), 90))
-    p = g.where("event_type = 'click'").select("day", F.col("state").alias("s1"))
-    q = g.where("event_type = 'view'").select("day", F.col("state").alias("s2"), F.col("coverage").alias("c2"))
-    state = (
-        F.when(F.col("s1").isNull(), F.col("s2"))
-        .when((F.col("s1") == "no_data") & (F.col("c2") > 0), F.col("s2"))
-        .when((F.col("s1") == "ok") & F.col("s2").isin("gaps", "no_data"), "gaps")
-        .otherwise(F.col("s1"))
-    )
-    return p.join(q, "day", "full_outer").select("day", state.alias("state"), F.coalesce(F.col("s1") == F.col("s2"), F.lit(False)).alias("agree"))
+    p = g.where("event_type = 'click' AND day % 5 <> 0").select("day", F.col("state").alias("s1"))
+    second = g.where("event_type = 'view'")
+    q = second.where("day % 7 <> 0").select("day", F.col("state").alias("s2"), F.col("coverage").alias("c2"))
+    newest = second.agg(F.max("last").alias("newest"))  # one row
+    x = p.join(q, "day", "full_outer").crossJoin(F.broadcast(newest))
+    state, agree = intervals.two_witnesses(F.col("s1"), F.col("s2"), F.col("c2"), F.col("newest") >= (F.col("day") + 1) * F.lit(DAY))
+    return x.select("day", state.alias("state"), agree.alias("agree"))
 
 
 @query(f"""WITH {_DAILY_SQL}, g AS (SELECT *, CASE WHEN coverage <= 0 THEN 'no_data' WHEN longest_gap_min > 90 THEN 'gaps' ELSE 'ok' END AS state FROM daily),

@@ -1,30 +1,60 @@
-"""Step-dependent operators on small inputs."""
+"""Step-dependent operators on small inputs, against rules worked out by hand or by a plain second form."""
 
-from lodestrata.operators import chunking
+from pyspark.sql import functions as F
+
+from lodestrata.operators import chunking, intervals, sites
 from lodestrata.plans import QUERIES, SQL
 
 
-def test_sentence_chunks():
-    assert chunking.sentence_chunks(None) == [] and chunking.sentence_chunks("a b") == ["a b"]
+def cut(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    return [r.c for r in df.select("id", chunking.sentence_chunks(F.coalesce(words, F.array().cast("array<string>"))).alias("c")).orderBy("id").collect()]
+
+
+def test_sentence_chunks(spark):
     words = [f"w{i}" for i in range(1000)]
-    words[399] = "end."
-    got = [c.split() for c in chunking.sentence_chunks(" ".join(words))]
-    assert got[0][-1] == "end." and got[1][0] == "w340" and got[-1][-1] == "w999"
-    assert all(len(c) <= 450 for c in got)
+    early = [*words[:299], "end.", *words[300:]]
+    late = [*words[:379], "end.", *words[380:]]
+    none, short, whole, a, b = cut(spark, [None, "a b", " ".join(words[:650]), " ".join(early), " ".join(late)])
+    assert none == [] and short == ["a b"] and whole == [" ".join(words[:650])]
+    # A stop at word 300 is too far back, one at word 380 is among the last 80.
+    assert [len(c.split()) for c in a] == [450, 450, 220]
+    assert b[0].endswith("end.") and b[1].startswith("w320 ") and b[-1].endswith("w999")
+
+
+def test_heading_chunks(spark):
+    text = "intro words\n\n# One\n\n" + "a " * 400 + "\n\n" + "b " * 300 + "\n\n# Two\n\n## Three\n\nc c c\n\n" + "d " * 90
+    df = spark.createDataFrame([(1, text, "Title"), (2, "", "T"), (3, None, "T")], "id long, text string, title string")
+    got = chunking.heading_chunks(df, "id", "text", "title").orderBy("id", "chunk").collect()
+    # Units: Title 2 words, One 520 and 230 (50 shared), Three 93; each carries two words of heading.
+    assert [(r.chunk, r.headings, r.words) for r in got] == [(0, ["Title", "One"], 526), (1, ["One", "Three"], 327)]
+    assert got[0].body.startswith("## Title\n\nintro words\n\n## One\n\na a") and all(r.id == 1 for r in got)
+
+
+def sensors(spark, rows):
+    return {r.id: r.site for r in sites.cluster_sites(spark.createDataFrame(rows, "id long, lat double, lon double, code string")).collect()}
+
+
+def test_sites_merge_through_a_bridge(spark):
+    east, north = 0.125 / sites.KM_PER_LON, 0.05 / sites.KM_PER_LAT
+    rows = [(1, 45.9, -130.0, "A"), (2, 45.9, -130.0 + 2 * east, "A"), (3, 45.9 + north, -130.0 + east, "A"), (4, 45.9, -129.99, "A"), (5, 46.5, -130.0, None)]
+    assert sensors(spark, rows) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
-def test_heading_chunks():
-    text = "# One\n" + "a " * 400 + "\n" + "b " * 300 + "\n# Two\n" + "c " * 1300
-    got = chunking.heading_chunks(text)
-    assert [h for h, _ in got] == ["One", "One", "Two", "Two", "Two"]
-    assert [len(b.split()) for _, b in got] == [400, 300, 520, 520, 360]
+def test_sites_keep_codes_apart(spark):
+    """A sensor without a code joins the nearest of two sites and does not bridge them."""
+    rows = [(1, 45.9257, -129.9780, "INT1"), (2, 45.9258, -129.9778, "INT2"), (3, 45.92572, -129.978031, None)]
+    assert sensors(spark, rows) == {1: 1, 2: 2, 3: 1}
+    assert sensors(spark, rows[:0]) == {}
 
 
-def test_site_clusters(spark):
-    step = 0.0011  # about 122 m
-    rows = [(1, 0.0, 0.0, "a"), (2, 0.0, 0.0, "a"), (3, 0.0, 2 * step, "a"), (4, 0.0, 1 * step, "b"), (5, 0.0, 3 * step, "b"), (6, 0.0, 2 * step, "b")]
-    got = chunking.cluster_sites(spark.createDataFrame(rows, "id long, lat double, lon double, region string"), "region")
-    assert {(r.id, r.site) for r in got.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 4)}
+def test_two_witnesses(spark):
+    rows = [("ok", "no_data", 0.0, True), ("ok", "no_data", 0.0, False), ("ok", "gaps", 0.5, True), ("no_data", "ok", 1.0, True), ("gaps", "no_data", 0.0, False), (None, "gaps", 0.5, True), ("ok", None, None, True)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, c double, p boolean")
+    state, agree = intervals.two_witnesses(F.col("a"), F.col("b"), F.col("c"), F.col("p"))
+    got = [(r.s, r.g) for r in df.select("i", state.alias("s"), agree.alias("g")).orderBy("i").collect()]
+    assert got == [("gaps", False), ("ok", True), ("gaps", False), ("ok", False), ("gaps", True), ("gaps", None), ("gaps", False)]
 
 
 def test_rows_only_queries_run(spark, sf_dir):

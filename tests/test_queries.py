@@ -13,4 +13,4 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_only_sequential_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == {"sentence_chunks", "heading_chunks", "site_clusters"}
+    assert set(QUERIES) - set(SQL) == {"site_clusters"}
