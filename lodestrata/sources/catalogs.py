@@ -6,9 +6,9 @@ table of texts; a bad line becomes a null or a dropped row, never a failed job.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,29 +16,87 @@ from pyspark.sql import functions as F
 from .shipping import ship
 
 
+#: The columns of the whitespace catalog from the depth on, by their place among the tokens.
+HYPOCENTRE_NUMBERS = {
+    "depth_km": 7,
+    "magnitude_mw": 8,
+    "azimuthal_gap_deg": 10,
+    "nearest_station_km": 11,
+    "rms_seconds": 12,
+    "horizontal_error_km": 13,
+    "vertical_error_km": 14,
+    "p_moment": 16,
+    "s_moment": 17,
+}
+EVENT_ID, WEIGHTED_READINGS = 15, 9
+
+
 def hypocentre_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Whitespace catalog: at least 18 tokens, an 8-digit date, hhmm, seconds up to 60.00, degrees and minutes.
 
     Seconds of 60 roll over to the next minute (and day), the catalog day stays.
-    West longitudes are negative; values that are not finite become null.
+    West longitudes are negative. A row goes if its time, its position or its count of
+    readings cannot be read; other values that are not finite become null. Times are in UTC
+    if the session's zone is; columns of ``lines`` other than the text (file, line number) stay.
     """
+    token = lambda i: F.get("_t", F.lit(i))
+    kept = [c for c in lines.columns if c != line]
+    rows = lines.select(*kept, F.col(line).alias("_line"), F.split(F.trim(F.col(line)), r"\s+").alias("_t")).where(F.size("_t") >= 18)
+    start = F.when(token(0).rlike("^[0-9]{8}$") & token(1).rlike("^[0-9]{1,4}$"), F.try_to_timestamp(F.concat(token(0), F.lpad(token(1), 4, "0")), F.lit("yyyyMMddHHmm")))
+    micros = F.round(_number(token(2)) * 1e6).cast("long")
+    found = rows.select(
+        *kept,
+        F.substring(F.sha2("_line", 256), 1, 24).alias("record_key"),
+        token(EVENT_ID).alias("event_id"),
+        F.timestamp_micros(F.unix_micros(start) + micros).alias("origin_time"),
+        F.to_date(start).alias("event_date"),
+        F.round(_number(token(3)) + _number(token(4)) / 60, 6).alias("latitude"),
+        F.round(-(_number(token(5)) + _number(token(6)) / 60), 6).alias("longitude"),
+        token(WEIGHTED_READINGS).try_cast("int").alias("weighted_readings"),
+        *[_number(token(i)).alias(name) for name, i in HYPOCENTRE_NUMBERS.items()],
+    )
+    return found.dropna(subset=["origin_time", "latitude", "longitude", "weighted_readings"])
+
+
+def headed_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with a header row, a byte-order mark allowed, with the file each row came from; values are text unless a schema is given."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("mode", "PERMISSIVE")
+    rows = (reader.schema(schema) if schema else reader).csv(path)
+    clean = [F.col(f"`{c}`").alias(c.lstrip("﻿").strip()) for c in rows.columns]
+    return rows.select(*clean, F.col("_metadata.file_path").alias("file"))
+
+
+#: The stations of the fixed 21-column focal file, in the order of their polarities.
+FOCAL_STATIONS = ("AS1", "AS2", "CC1", "EC1", "EC2", "EC3", "ID1")
+FOCAL_NUMBERS = {"latitude": 2, "longitude": 3, "depth_km": 4, "magnitude_mw": 5, "strike_deg": 6, "dip_deg": 7, "rake_deg": 8, "polarity_distance": 12, "location_distance_km": 13}
+
+
+def focal_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Focal mechanisms of exactly 21 columns; comments, other lengths and repeats go, and so does a row with a bad count."""
     t = F.split(F.trim(F.col(line)), r"\s+")
-    rows = lines.select(t.alias("t")).where((F.size("t") >= 18) & F.get("t", 0).rlike("^[0-9]{8}$"))
-    hhmm = F.lpad(F.get("t", 1), 4, "0")
-    start = F.try_to_timestamp(F.concat(F.get("t", 0), hhmm), F.lit("yyyyMMddHHmm"))
-    micros = F.round(_number(F.get("t", 2)) * 1e6).cast("long")
-    at = F.timestamp_micros(F.unix_micros(start) + micros)
-    lat = _number(F.get("t", 3)) + _number(F.get("t", 4)) / 60
-    lon = -(_number(F.get("t", 5)) + _number(F.get("t", 6)) / 60)
-    return rows.select(
-        at.alias("origin_time"),
-        F.to_date(F.get("t", 0), "yyyyMMdd").alias("event_date"),
-        lat.alias("latitude"),
-        lon.alias("longitude"),
-        _number(F.get("t", 7)).alias("depth_km"),
-        _number(F.get("t", 8)).alias("magnitude"),
-        F.get("t", 17).alias("event_id"),
+    rows = lines.where(~F.col(line).startswith("#")).select(t.alias("t")).where(F.size("t") == 21).distinct()
+    polarity = F.map_from_arrays(F.array(*[F.lit(s) for s in FOCAL_STATIONS]), F.transform(F.slice("t", 15, len(FOCAL_STATIONS)), lambda x: x.try_cast("int")))
+    found = rows.select(
+        F.get("t", 0).alias("event_id"),
+        F.concat(F.get("t", 1), F.lit("Z")).alias("origin_time_utc"),
+        *[_number(F.get("t", i)).alias(name) for name, i in FOCAL_NUMBERS.items()],
+        F.get("t", 9).alias("fault_type"),
+        F.get("t", 10).alias("quality"),
+        F.get("t", 11).try_cast("int").alias("analog_count"),
+        polarity.alias("station_polarities"),
     )
+    return found.where(F.col("analog_count").isNotNull() & F.forall(F.map_values("station_polarities"), lambda x: x.isNotNull()))
+
+
+def station_epochs(spark: SparkSession, path: str) -> DataFrame:
+    """Channel epochs of StationXML files, by Spark's XML reader: network, station, channel, place, span, rate, azimuth, dip."""
+    schema = """_code string, Station array<struct<_code: string, Channel: array<struct<_code: string, _locationCode: string, _startDate: string, _endDate: string,
+        Latitude: double, Longitude: double, Elevation: double, Depth: double, Azimuth: double, Dip: double, SampleRate: double>>>>"""
+    networks = spark.read.option("rowTag", "Network").schema(schema).format("xml").load(path)
+    stations = networks.select(F.col("_code").alias("network"), F.explode("Station").alias("s"))
+    channels = stations.select("network", F.col("s._code").alias("station"), F.explode("s.Channel").alias("c"))
+    names = {"channel": "_code", "location": "_locationCode", "start": "_startDate", "end": "_endDate", "latitude": "Latitude", "longitude": "Longitude", "elevation": "Elevation", "depth": "Depth", "azimuth": "Azimuth", "dip": "Dip", "rate": "SampleRate"}
+    return channels.select("network", "station", *[F.col(f"c.{raw}").alias(name) for name, raw in names.items()])
 
 
 def _number(c: Column) -> Column:
@@ -109,43 +167,61 @@ def profile_jsonl(spark: SparkSession, path: str, text_key: str, id_key: str) ->
     return raw.groupBy("file").agg(F.count(F.lit(1)).alias("records"), has(text_key).alias("text_records"), has(id_key).alias("id_records"))
 
 
+#: The fixed header of a seismic record (public SEED format, version 2), big-endian.
+RECORD_HEADER = np.dtype(
+    {
+        "names": ["station", "channel", "year", "day", "hour", "minute", "second", "ticks", "samples", "factor", "multiplier", "blockette"],
+        "formats": ["S5", "S3", ">u2", ">u2", "u1", "u1", "u1", ">u2", ">u2", ">i2", ">i2", ">u2"],
+        "offsets": [8, 15, 20, 22, 24, 25, 26, 28, 30, 32, 34, 46],
+        "itemsize": 48,
+    }
+)
+RECORD_BLOCKETTE = 1000
+
+
+def _records(content: bytes, default: int) -> np.ndarray:
+    """The headers of a file's records in native byte order; a record's order shows in its year."""
+    heads, at = [], 0
+    while at + RECORD_HEADER.itemsize <= len(content):
+        head = np.frombuffer(content, RECORD_HEADER, 1, at)
+        order = "big" if 1900 < head["year"][0] < 2100 else "little"
+        heads.append(head if order == "big" else head.view(RECORD_HEADER.newbyteorder("<")))
+        number = lambda i: int.from_bytes(content[i : i + 2], order)  # noqa: B023, E731
+        link, length = number(at + 46), default
+        while link and at + link + 8 <= len(content):
+            if number(at + link) == RECORD_BLOCKETTE:
+                length = 1 << content[at + link + 6]
+                break
+            link = number(at + link + 2)
+        at += length
+    native = RECORD_HEADER.newbyteorder("=")
+    return np.concatenate([h.astype(native) for h in heads]) if heads else np.zeros(0, native)
+
+
+def _rates(factor: np.ndarray, multiplier: np.ndarray) -> np.ndarray:
+    """Samples a second: positive numbers multiply, negative ones divide, zero means none."""
+    part = lambda x: np.where(x > 0, x, -1.0 / np.where(x < 0, x, -1)) * (x != 0)
+    return part(factor.astype(float)) * part(multiplier.astype(float))
+
+
 def packet_spans(files: DataFrame, record_length: int = 512) -> DataFrame:
-    """Spans of fixed-length seismic records from ``binaryFile`` rows: (path, station, channel, start, end, rate)."""
+    """Spans of seismic records from ``binaryFile`` rows: (path, station, channel, start, end, rate).
+
+    Either byte order is read; a record without samples or rate gives no span. ``record_length``
+    holds where a record does not state its own.
+    """
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                at = 0
-                while at + 48 <= len(content):
-                    head = bytes(content[at : at + 48])
-                    year, day, hour, minute, second, _, tenths, n, factor, multiplier = struct.unpack(">HHBBBBHHhh", head[20:36])
-                    rate = _rate(factor, multiplier)
-                    length = _record_length(bytes(content[at : at + record_length]), record_length)
-                    start = pd.Timestamp(year, 1, 1) + pd.Timedelta(days=day - 1, hours=hour, minutes=minute, seconds=second + tenths / 1e4)
-                    if rate > 0:
-                        t0 = start.timestamp()
-                        out.append((path, head[8:13].decode("ascii", "replace").strip(), head[15:18].decode("ascii", "replace").strip(), t0, t0 + n / rate, rate))
-                    at += length
-            yield pd.DataFrame(out, columns=["path", "station", "channel", "start", "end", "rate"])
+                h = _records(bytes(content), record_length)
+                rate = _rates(h["factor"], h["multiplier"])
+                h, rate = h[(rate > 0) & (h["samples"] > 0)], rate[(rate > 0) & (h["samples"] > 0)]
+                days = (h["year"].astype("i8") - 1970).astype("datetime64[Y]").astype("datetime64[D]").astype("i8") + h["day"] - 1
+                start = days * 86400.0 + h["hour"] * 3600.0 + h["minute"] * 60.0 + h["second"] + h["ticks"] / 1e4
+                name = lambda c: [x.decode("ascii", "replace").strip() for x in h[c].tolist()]  # noqa: B023, E731
+                if len(h):
+                    yield pd.DataFrame({"path": path, "station": name("station"), "channel": name("channel"), "start": start, "end": start + h["samples"] / rate, "rate": rate})
 
     return files.select("path", "content").mapInPandas(run, "path string, station string, channel string, start double, end double, rate double")
-
-
-def _rate(factor: int, multiplier: int) -> float:
-    if not factor or not multiplier:
-        return 0.0
-    a = float(factor) if factor > 0 else -1.0 / factor
-    return a * multiplier if multiplier > 0 else -a / multiplier
-
-
-def _record_length(record: bytes, default: int) -> int:
-    (first,) = struct.unpack(">H", record[46:48])
-    at = first
-    while 0 < at <= len(record) - 8:
-        kind, following = struct.unpack(">HH", record[at : at + 4])
-        if kind == 1000:
-            return 1 << record[at + 6]
-        at = following
-    return default
