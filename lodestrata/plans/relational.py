@@ -22,10 +22,11 @@ def join_inner(spark, sf):
 
 
 @query("""SELECT coalesce(c.k, s.k) AS nation, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM
-(SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k""")
+(SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL OUTER JOIN (SELECT s_nationkey + 4 AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k""")
 def join_full_outer(spark, sf):
-    c = load(spark, sf, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("c"))
-    s = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("s"))
+    """Keys shifted by four, so that either side has some that the other lacks."""
+    c = load(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("c"))
+    s = load(spark, sf, "supplier").groupBy((F.col("s_nationkey") + 4).alias("nation")).agg(F.count(F.lit(1)).alias("s"))
     return c.join(s, "nation", "full_outer").select("nation", F.coalesce("c", F.lit(0)).alias("customers"), F.coalesce("s", F.lit(0)).alias("suppliers"))
 
 
@@ -129,14 +130,14 @@ def join_first_within(spark, sf):
     return joins.first_within(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), ["user_id"], "t", "event_id", "event_id", 7200.0)
 
 
-@query("""WITH c AS (SELECT o_orderkey, o_orderdate AS a, o_orderdate + INTERVAL 3 DAY AS b FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 450000),
-s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem WHERE l_quantity > 49)
-SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, arg_min(c.o_orderkey, (c.a, c.o_orderkey)) AS cruise FROM s JOIN c ON s.l_shipdate BETWEEN c.a AND c.b GROUP BY ALL""")
+@query("""WITH c AS (SELECT o_orderkey, o_orderdate::DATE AS a FROM orders WHERE o_orderstatus = 'F'), d AS (SELECT o_orderkey, a, unnest(generate_series(a, a + INTERVAL 3 DAY, INTERVAL 1 DAY))::DATE AS day FROM c),
+f AS (SELECT day, arg_min(o_orderkey, (a, o_orderkey)) AS cruise FROM d GROUP BY day) SELECT l_orderkey, l_linenumber, l_partkey, cruise FROM lineitem JOIN f ON l_shipdate::DATE = day""")
 def interval_stab(spark, sf):
-    c = load(spark, sf, "orders").where("o_orderstatus = 'F' AND o_totalprice > 450000").select("o_orderkey", F.to_date("o_orderdate").alias("a"))
-    c = c.withColumn("day", F.explode(F.sequence("a", F.date_add("a", 3))))
-    s = load(spark, sf, "lineitem").where("l_quantity > 49").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("day"))
-    return s.join(c, "day").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min_by("o_orderkey", F.struct("a", "o_orderkey")).alias("cruise"))
+    """The first cruise that covers a stop's day; the answer hangs on the day alone, so days are settled before the join."""
+    c = load(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.to_date("o_orderdate").alias("a"))
+    first = c.withColumn("day", F.explode(F.sequence("a", F.date_add("a", 3)))).groupBy("day").agg(F.min_by("o_orderkey", F.struct("a", "o_orderkey")).alias("cruise"))
+    s = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("day"))
+    return s.join(first, "day").drop("day")
 
 
 _SITES = "s AS (SELECT c_custkey AS id, (c_custkey * 37 % 1200) / 10.0 - 60 AS lat, (c_custkey * 91 % 3400) / 10.0 - 170 AS lon FROM customer)"
@@ -235,12 +236,16 @@ def metric_summary(spark, sf):
     )
 
 
-@query("""WITH m AS (SELECT unnest(generate_series(DATE '1994-11-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS month), o AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders WHERE o_totalprice > 480000 GROUP BY 1)
-SELECT strftime(month, '%Y-%m') AS month, coalesce(n, 0) AS n FROM m LEFT JOIN o USING (month)""")
+@query("""WITH o AS (SELECT c_mktsegment AS segment, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL), r AS (SELECT min(month) AS lo, max(month) AS hi FROM o),
+m AS (SELECT segment, unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS month FROM (SELECT DISTINCT segment FROM o), r)
+SELECT segment, strftime(month, '%Y-%m') AS month, coalesce(n, 0) AS n FROM m LEFT JOIN o USING (segment, month)""")
 def dense_month_counts(spark, sf):
-    o = load(spark, sf, "orders").where("o_totalprice > 480000").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    m = spark.range(1).select(F.explode(F.expr("sequence(date'1994-11-01', date'2001-12-01', interval 1 month)")).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"))
-    return m.join(o, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
+    """Urgent orders a month and segment on a calendar from the first month to the last, empty months as zero."""
+    o = load(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.groupBy(F.col("c_mktsegment").alias("segment"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    r = o.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    m = o.select("segment").distinct().crossJoin(F.broadcast(r)).select("segment", F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("d"))
+    return m.join(o, ["segment", "d"], "left").select("segment", F.date_format("d", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, CASE WHEN count(*) >= 60 THEN round(quantile_cont(value, 0.5), 6) END AS median FROM events GROUP BY ALL")
@@ -304,9 +309,10 @@ def dedup_keep_latest(spark, sf):
     return load(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_partkey", F.struct("l_shipdate", "l_partkey")).alias("latest"))
 
 
-@query("SELECT c_nationkey, c_mktsegment, count(*) AS n, array_to_string(list_sort(list(DISTINCT c_name))[1:5], '|') AS files FROM customer GROUP BY ALL")
+@query("SELECT o_custkey, o_orderstatus, count(*) AS n, array_to_string(list_sort(list(DISTINCT o_orderkey))::VARCHAR[], '|') AS files FROM orders GROUP BY ALL")
 def consolidate_notes(spark, sf):
-    return load(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("c_name")), 1, 5), "|").alias("files"))
+    """Every file of a note (a customer's orders of one status) is kept."""
+    return load(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderkey")).cast("array<string>"), "|").alias("files"))
 
 
 @query("SELECT 'orders' AS collection, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'pages', count(*) FROM pages")
@@ -423,16 +429,16 @@ def recent_with_remainder(spark, sf):
     return r.groupBy("user_id").agg(F.count_if(F.col("k") <= 30).alias("shown"), F.count_if(F.col("k") > 30).alias("hidden"), F.round(F.coalesce(F.sum(F.when(F.col("k") > 30, F.col("value"))), F.lit(0.0)), 4).alias("hidden_value"))
 
 
-@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9500 UNION SELECT s_nationkey FROM supplier")
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey + 4 FROM supplier")
 def union_distinct(spark, sf):
-    return load(spark, sf, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k")).union(load(spark, sf, "supplier").select("s_nationkey")).distinct()
+    return load(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(load(spark, sf, "supplier").select(F.col("s_nationkey") + 4)).distinct()
 
 
-@query("""WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9800), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000)
+@query("""WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer), b AS (SELECT DISTINCT s_nationkey + 4 AS k FROM supplier)
 SELECT 'missed' AS side, k FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'extra', k FROM (SELECT k FROM b EXCEPT SELECT k FROM a) UNION ALL SELECT 'both', k FROM (SELECT k FROM a INTERSECT SELECT k FROM b)""")
 def set_differences(spark, sf):
-    a = load(spark, sf, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("k")).distinct()
-    b = load(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")).distinct()
+    a = load(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).distinct()
+    b = load(spark, sf, "supplier").select((F.col("s_nationkey") + 4).alias("k")).distinct()
     tag = lambda df, s: df.select(F.lit(s).alias("side"), "k")
     return tag(a.subtract(b), "missed").unionByName(tag(b.subtract(a), "extra")).unionByName(tag(a.intersect(b), "both"))
 

@@ -230,12 +230,15 @@ def redaction(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.md5(privacy.redact(F.col("text"))[0]).alias("digest"))
 
 
-@query("WITH i AS (SELECT source, lang, list_sort(list(doc_id)) AS places FROM documents GROUP BY ALL), p AS (SELECT source, lang, unnest(places) AS pos FROM i) SELECT source, array_to_string((list(lang ORDER BY pos, lang))[1:40], ' ') AS rebuilt FROM p GROUP BY source")
+@query(f"""WITH w AS (SELECT conv_id, turn, {_WORDS.format(c='text')} AS w FROM conversations), i AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w)
+SELECT conv_id, turn, count(DISTINCT word) AS entries, md5(string_agg(word, ' ' ORDER BY pos)) AS rebuilt FROM i GROUP BY conv_id, turn""")
 def inverted_index_to_text(spark, sf):
-    i = load(spark, sf, "documents").groupBy("source", "lang").agg(F.collect_list("doc_id").alias("at"))
-    p = i.select("source", "lang", F.explode("at").alias("pos"))
-    words = F.transform(F.array_sort(F.collect_list(F.struct("pos", "lang"))), lambda x: x.lang)
-    return p.groupBy("source").agg(F.array_join(F.slice(words, 1, 40), " ").alias("rebuilt"))
+    """Word -> positions of each turn's text, and the whole text again from it."""
+    w = load(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(_split("text")).alias("pos", "word"))
+    i = w.groupBy("conv_id", "turn", "word").agg(F.collect_list("pos").alias("at"))
+    p = i.select("conv_id", "turn", "word", F.explode("at").alias("pos"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word)
+    return p.groupBy("conv_id", "turn").agg(F.countDistinct("word").alias("entries"), F.md5(F.array_join(words, " ")).alias("rebuilt"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS stamp, dayofyear(o_orderdate) AS julian, lpad(CAST(o_orderkey % 2400 AS VARCHAR), 4, '0') AS padded, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS days FROM orders""")
