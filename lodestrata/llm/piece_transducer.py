@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 32 << 20
 STABLE_BYTES = 12 << 20
 SLICE_BYTES = 1 << 20
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import connected_components
+from ..operators.components import connected_components
 
 BITS = 64
 SHINGLE = 4

@@ -40,7 +40,7 @@ SKIPPABLE_INDEX = 0x184D2A5D
 SKIPPABLE_SEEK = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 FRAME_BYTES = 1 << 20
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 96 << 20
 FILE_BYTES = 64 << 20
 SLICE_BYTES = 8 << 20
 ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
