@@ -71,6 +71,23 @@ def spread(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFram
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
+def shingle_hashes(df: DataFrame, keep: list[str], words: str, n: int, name: str) -> DataFrame:
+    """Distinct runs of ``n`` words as 64-bit hashes, one row each; none for shorter texts.
+
+    Words are hashed once and runs by doubling, so no run is ever a string. Two of N runs
+    share a hash by chance with probability N / 2^64, under one in a million for 10^13 runs.
+    """
+    df = df.withColumn(f"_{name}1", F.transform(F.col(words), lambda w: F.xxhash64(w))).select(*keep, f"_{name}1")
+    done, current = 1, f"_{name}1"
+    while done < n:
+        step = min(done, n - done)
+        rest = F.greatest(F.size(current) - step, F.lit(0))
+        target = f"_{name}{done + step}"
+        df = df.withColumn(target, F.zip_with(F.slice(current, F.lit(1), rest), F.slice(current, F.lit(1 + step), rest), lambda x, y: F.xxhash64(x, y)))
+        current, done = target, done + step
+    return spread(df.select(*keep, F.array_distinct(current).alias(f"_{name}")), keep, F.col(f"_{name}"), name)
+
+
 def shingle_rows(df: DataFrame, keep: list[str], words: str, n: int, name: str) -> DataFrame:
     """Distinct runs of ``n`` words, space-joined, one row each; none for shorter texts.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 
 def neighbours(edges: DataFrame, start: DataFrame, depth: int, fan_out: int = 25, limit: int = 250) -> DataFrame:
     """Breadth-first levels from ``start`` (node): at most ``fan_out`` edges per node and direction.
@@ -23,7 +25,8 @@ def neighbours(edges: DataFrame, start: DataFrame, depth: int, fan_out: int = 25
         per = Window.partitionBy("node", "direction").orderBy("next", "pred")
         reached = both.join(frontier, "node", "left_semi").withColumn("k", F.row_number().over(per)).where(F.col("k") <= fan_out)
         fresh = reached.groupBy("next").agg(F.min(F.struct("direction", "pred")).alias("edge"))
-        fresh = fresh.select(F.col("next").alias("node"), F.lit(level).alias("depth"), "edge.direction", "edge.pred").join(found, "node", "left_anti")
+        # Written once a level, so that no level computes the ones before it again.
+        fresh = materialize(fresh.select(F.col("next").alias("node"), F.lit(level).alias("depth"), "edge.direction", "edge.pred").join(found, "node", "left_anti"), "level")
         frontier = fresh.select("node")
         found = found.unionByName(fresh)
     return found.orderBy("depth", "node").limit(max(1, min(limit, 250)))

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, search_tokens
+from ..sources.shared import materialize
+
+#: Rows of a side that is broadcast, at most; its count is taken first.
+BROADCAST_ROWS = 1_000_000
 
 
 def _equals(term: str):
@@ -22,12 +26,14 @@ def bm25(docs: DataFrame, terms: list[str], id_: str = "doc_id", text: str = "te
     """(id, score) of documents with score above 0; a repeated query term counts again.
 
     One pass gives each document's length and term frequencies (term counts of a
-    handful of literals are columns, not rows); corpus figures are one row.
+    handful of literals are columns, not rows), written once so that the corpus is
+    read and cut into words once; corpus figures are one row.
     """
     distinct = sorted(set(terms))
     counted = docs.select(F.col(id_), search_tokens(F.col(text)).alias("_t")).select(
         id_, F.size("_t").alias("dl"), *[F.size(F.filter("_t", _equals(q))).alias(f"tf{i}") for i, q in enumerate(distinct)]
     )
+    counted = materialize(counted, "postings")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     score = F.lit(0.0)
     for i, q in enumerate(distinct):

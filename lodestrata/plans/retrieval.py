@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import graph, joins, retrieval
+from ..sources.shared import materialize
 from ..sources.tables import load
 from .registry import query
 
@@ -127,10 +128,10 @@ _RUNS = "list_distinct(list_transform(generate_series(1, len(w) - {k}), lambda i
 f AS (SELECT run, min(doc_id) AS first FROM g GROUP BY run) SELECT doc_id, count(*) AS runs, count(*) FILTER (WHERE first < doc_id) AS known, count(*) FILTER (WHERE first < doc_id) > 0.2 * count(*) AS suppressed FROM g JOIN f USING (run) GROUP BY doc_id""")
 def passage_suppression(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", tx.plain_words(F.col("text")).alias("w"))
-    g = tx.shingle_rows(d, ["doc_id"], "w", 8, "run").select("doc_id", F.xxhash64("run").alias("h"), F.xxhash64(F.lit("second"), "run").alias("h2"))
-    # The smallest holder stands for a run; 128 bits of hash travel in place of its words.
-    f = g.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
-    return g.join(f, ["h", "h2"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("first") < F.col("doc_id")).alias("known")).withColumn("suppressed", F.col("known") > 0.2 * F.col("runs"))
+    # Written once, so that texts are read and hashed once; the smallest holder stands for a run.
+    g = materialize(tx.shingle_hashes(d, ["doc_id"], "w", 8, "h"), "runs")
+    f = g.groupBy("h").agg(F.min("doc_id").alias("first"))
+    return g.join(f, "h").groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("first") < F.col("doc_id")).alias("known")).withColumn("suppressed", F.col("known") > 0.2 * F.col("runs"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), g AS (SELECT doc_id, unnest({_RUNS.format(k=11)}) AS run FROM d WHERE len(w) >= 12),
@@ -138,8 +139,14 @@ b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM ben
 SELECT doc_id, count(DISTINCT item_id) AS items, count(DISTINCT run) AS runs FROM g JOIN bg USING (run) GROUP BY doc_id""")
 def copy_detection(spark, sf):
     words = lambda df, id_: df.select(id_, tx.plain_words(F.col("text")).alias("w"))
+    docs, items = load(spark, sf, "documents"), load(spark, sf, "benchmark")
+    hashes = lambda df, id_: tx.shingle_hashes(words(df, id_), [id_], "w", 12, "h")
+    known = materialize(hashes(items, "item_id").select("h").distinct(), "item-runs")
+    known = F.broadcast(known) if known.count() <= retrieval.BROADCAST_ROWS else known
+    # Hashes name the few documents that may hold a run; those are then compared word for word.
+    maybe = materialize(hashes(docs, "doc_id").join(known, "h", "left_semi").select("doc_id").distinct(), "maybe")
     runs = lambda df, id_: tx.shingle_rows(words(df, id_), [id_], "w", 12, "run")
-    hit = runs(load(spark, sf, "documents"), "doc_id").join(runs(load(spark, sf, "benchmark"), "item_id"), "run")
+    hit = runs(docs.join(maybe, "doc_id", "left_semi"), "doc_id").join(runs(items, "item_id"), "run")
     return hit.groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("run").alias("runs"))
 
 

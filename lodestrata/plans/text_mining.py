@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import privacy
+from ..sources.shared import materialize
 from ..sources.tables import epoch_seconds, load
 from .registry import query
 
@@ -296,9 +297,12 @@ def near_duplicate_screen(spark, sf):
     """Pairs of distinct normal texts with shingle Jaccard of 0.8 or more, by prefix filtering."""
     d = load(spark, sf, "documents").select("doc_id", tx.plain_words(F.col("text")).alias("w")).withColumn("k", F.sha2(F.array_join("w", " "), 256))
     d = d.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"))
-    g = tx.shingle_rows(d, ["doc_id"], "w", 5, "g").select("doc_id", F.xxhash64("g").alias("g"))
-    s = g.groupBy("doc_id").agg(F.array_sort(F.collect_set("g")).alias("s"))
-    # Two sets of Jaccard 0.8 share a hash among the smallest |A| - ceil(0.8 |A|) + 1 of each.
+    g = materialize(tx.shingle_hashes(d, ["doc_id"], "w", 5, "g"), "shingles")
+    # Rare shingles first, so that prefixes hold few that many texts share.
+    often = g.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    s = g.join(often, "g").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "g"))), lambda x: x.g).alias("s"))
+    s = materialize(s, "sets")
+    # In one order of all shingles, two sets of Jaccard 0.8 share one among the first |A| - ceil(0.8 |A|) + 1 of each.
     prefix = F.size("s") - F.ceil(F.size("s") * 0.8).cast("int") + 1
     p = tx.spread(s.select("doc_id", "s", F.size("s").alias("n")), ["doc_id", "n"], F.slice("s", F.lit(1), F.greatest(prefix, F.lit(0))), "h")
     a, b = p.alias("a"), p.alias("b")

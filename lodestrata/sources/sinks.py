@@ -16,8 +16,9 @@ def canonical_json(df: DataFrame) -> DataFrame:
 def publish(df: DataFrame, path: str, check: Callable[[DataFrame], str | None]) -> None:
     """Write beside ``path``, validate what was written, then rename it into place.
 
-    ``check`` returns a complaint or None. Readers of ``path`` see the old build
-    or the new one, or for the moment between delete and rename none; never a part.
+    ``check`` returns a complaint or None. The old build steps aside by a rename and is
+    deleted only when the new one is in place, or steps back if that fails. Readers of
+    ``path`` see the old build or the new one, or, between two renames, none; never a part.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
@@ -26,12 +27,17 @@ def publish(df: DataFrame, path: str, check: Callable[[DataFrame], str | None])
     complaint = check(spark.read.parquet(staging))
     if complaint:
         raise ValueError(complaint)
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
+    old, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staging, f"{path}.before"))
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(old):
-        fs.delete(old, True)
+        fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"{path} could not be renamed")
     if not fs.rename(new, old):
+        if fs.exists(aside):
+            fs.rename(aside, old)
         raise OSError(f"{staging} could not be renamed")
+    fs.delete(aside, True)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
