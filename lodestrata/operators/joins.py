@@ -26,12 +26,18 @@ def as_of_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, v
     return out.select("_l.*", F.col("_found._rt").alias("matched_at"), *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], t: str, left_id: str, right_id: str, tolerance: float) -> DataFrame:
-    """For each left row the closest right row within ``tolerance``; ties to the earlier, then the smaller id."""
-    r = right.select(*keys, F.col(t).alias("rt"), F.col(right_id).alias("right_id")).withColumn("bucket", F.explode(F.array(*[F.floor(F.col("rt") / tolerance) + i for i in (-1, 0, 1)])))
-    l = left.select(*keys, F.col(t).alias("lt"), F.col(left_id).alias("left_id")).withColumn("bucket", F.floor(F.col("lt") / tolerance))
-    near = l.join(r, [*keys, "bucket"]).where(F.abs(F.col("lt") - F.col("rt")) <= tolerance)
-    best = near.groupBy("left_id", "lt").agg(F.min_by("right_id", F.struct(F.abs(F.col("lt") - F.col("rt")), "rt", "right_id")).alias("right_id"))
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], t: str, left_id: str, right_id: str, tolerance: float, place: list[str] | None = None, near=None) -> DataFrame:
+    """For each left row the closest right row within ``tolerance``; ties to the earlier, then the smaller id.
+
+    ``near`` may bound the distance as well: it gets the ``place`` columns of the left and of the right row as two structs.
+    """
+    here = F.struct(*place) if place else F.lit(None).cast("string")
+    r = right.select(*keys, F.col(t).alias("rt"), F.col(right_id).alias("right_id"), here.alias("rp")).withColumn("bucket", F.explode(F.array(*[F.floor(F.col("rt") / tolerance) + i for i in (-1, 0, 1)])))
+    l = left.select(*keys, F.col(t).alias("lt"), F.col(left_id).alias("left_id"), here.alias("lp")).withColumn("bucket", F.floor(F.col("lt") / tolerance))
+    close = l.join(r, [*keys, "bucket"]).where(F.abs(F.col("lt") - F.col("rt")) <= tolerance)
+    if near is not None:
+        close = close.where(near(F.col("lp"), F.col("rp")))
+    best = close.groupBy("left_id", "lt").agg(F.min_by("right_id", F.struct(F.abs(F.col("lt") - F.col("rt")), "rt", "right_id")).alias("right_id"))
     return l.select("left_id").join(best.select("left_id", "right_id"), "left_id", "left")
 
 

@@ -56,6 +56,15 @@ def ranked(scores: DataFrame, id_: str, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_)).cast("long"))  # k rows
 
 
+def route(tools: DataFrame, text: str, wanted: list[str], weights: dict[str, int], limit: int, ties: list[str]) -> DataFrame:
+    """Tools whose words hold all of ``wanted``, by the weights of the words they hold, ties by ``ties``; 1 to 20 rows."""
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), " ")
+    score = sum((F.array_contains(words, w).cast("int") * n for w, n in weights.items()), F.lit(0))
+    fit = [F.array_contains(words, w) for w in wanted]
+    found = tools.where(reduce(lambda a, b: a & b, fit, F.lit(True))).withColumn("score", score)
+    return found.orderBy(F.desc("score"), *ties).limit(max(1, min(limit, 20)))
+
+
 def fuse(lists: list[tuple[DataFrame, float]], id_: str, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: sum of weight / (k + rank) over ranked lists, weights clamped to [0, 1]."""
     parts = [df.select(id_, (F.lit(max(0.0, min(1.0, w))) / (k + F.col("rank"))).alias("part")) for df, w in lists]

@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import relational, retrieval, sequential, streaming, text_mining, time_series  # noqa: F401
+from . import linking, relational, retrieval, sequential, streaming, text_mining, time_series  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
