@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, language_id, language_model, licence_scan, piece_transducer, quality, sharding, simhash, token_frames, topk
+from . import alignment, common, decontaminate, html_text, language_id, language_model, licence_scan, piece_transducer, quality, sharding, simhash, token_frames, topk, whitening
 
 
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +50,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.table(spark, sf_dir, "pages"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return alignment.align(docs, common.tokenizer_path("byte_bpe_50k.json"), common.tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licence_scan, op2_simhash, op3_top_k, op4_language_model, op5_language_id, op6_sentencepiece, op7_token_output, op8_quality, op9_sharding, op10_decontamination)}
+    registered = (
+        op1_licence_scan, op2_simhash, op3_top_k, op4_language_model, op5_language_id, op6_sentencepiece, op7_token_output, op8_quality, op9_sharding,
+        op10_decontamination, op11_whitening, op12_html_text, op13_tokenizer_alignment,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
