@@ -92,21 +92,16 @@ WHEN 1 THEN concat('Mag 2.', o_custkey % 10, ' or larger on ', {_M}, ' ', o_orde
 WHEN 4 THEN concat(o_custkey % 13, '/', o_orderkey % 33, '/2012 with >= ', o_custkey % 3) WHEN 5 THEN concat('M2+ on ', o_custkey % 12 + 1, '/', o_orderkey % 30 + 1) WHEN 6 THEN concat('2019 ', {_M}, ' ', o_orderkey % 31 + 1) WHEN 7 THEN concat('since ', {_M}, ' exceeding a mw -0.', o_custkey % 9) ELSE 'nothing dated' END"""
 
 
-def _day_sql() -> str:
-    branches = []
-    for pattern, y, m, d in qs.DAY_FORMS:
-        g = lambda i: f"regexp_extract(q, '{pattern}', {i})"  # noqa: B023, E731
-        month = f"CASE WHEN regexp_matches({g(m)}, '^[0-9]') THEN {g(m)} ELSE ((strpos('{qs._MONTHS}', left({g(m)}, 3)) + 2) // 3)::VARCHAR END"
-        branches.append(f"WHEN regexp_matches(q, '{pattern}') THEN [{g(y)}, '-' || lpad({month}, 2, '0') || '-' || lpad({g(d)}, 2, '0')]")
-    return f"CASE {' '.join(branches)} END"
+# The SQL takes day and magnitude from the numbers that the question is made of.
+_MONTH_NO = "(o_custkey % 12 + 1)"
+_ASKED_DAY = f"""CASE o_orderkey % 9 WHEN 0 THEN [2010 + o_custkey % 16, o_custkey % 13 + 1, o_orderkey % 31 + 1] WHEN 1 THEN [2010 + o_custkey % 16, {_MONTH_NO}, o_orderkey % 31 + 1] WHEN 2 THEN [NULL, {_MONTH_NO}, o_orderkey % 31 + 1]
+WHEN 3 THEN [2015, {_MONTH_NO}, o_orderkey % 31 + 1] WHEN 4 THEN [2012, o_custkey % 13, o_orderkey % 33] WHEN 5 THEN [NULL, {_MONTH_NO}, o_orderkey % 30 + 1] WHEN 6 THEN [2019, {_MONTH_NO}, o_orderkey % 31 + 1] END"""
+_ASKED_FLOOR = "CASE o_orderkey % 9 WHEN 0 THEN o_custkey % 4 WHEN 1 THEN ('2.' || o_custkey % 10)::DOUBLE WHEN 3 THEN o_custkey % 5 WHEN 4 THEN o_custkey % 3 WHEN 5 THEN 2 WHEN 7 THEN -((o_custkey % 9) / 10.0) END::DOUBLE"
 
 
-def _floor_sql(part: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN " + (f"TRY_CAST(regexp_extract(q, '{p}', 1) AS DOUBLE)" if part == "value" else str(i)) for p, i in qs.FLOOR_FORMS) + " END"
-
-
-@query(f"""WITH a AS (SELECT o_orderkey, lower({_ASKED}) AS q FROM orders), d AS (SELECT o_orderkey, q, {_day_sql()} AS p FROM a), f AS (SELECT o_orderkey, q, CASE WHEN p[1] <> '' THEN p[1] || p[2] WHEN '2024' || p[2] > '2024-06-15' THEN '2023' || p[2] ELSE '2024' || p[2] END AS day FROM d)
-SELECT o_orderkey, CASE WHEN TRY_CAST(day AS DATE) IS NOT NULL THEN day END AS day, {_floor_sql('value')} AS floor, {_floor_sql('inclusive')} AS inclusive FROM f""")
+@query(f"""WITH a AS (SELECT o_orderkey, {_ASKED_DAY} AS p, {_ASKED_FLOOR} AS floor FROM orders), t AS (SELECT *, '-' || lpad(p[2]::VARCHAR, 2, '0') || '-' || lpad(p[3]::VARCHAR, 2, '0') AS tail FROM a),
+f AS (SELECT *, CASE WHEN p[1] IS NOT NULL THEN p[1] || tail WHEN '2024' || tail > '2024-06-15' THEN '2023' || tail ELSE '2024' || tail END AS day FROM t)
+SELECT o_orderkey, CASE WHEN TRY_CAST(day AS DATE) IS NOT NULL THEN day END AS day, floor, CASE WHEN floor IS NOT NULL THEN o_orderkey % 9 IN (1, 3, 4, 5) END AS inclusive FROM f""")
 def question_days(spark, sf):
     q = load(spark, sf, "orders").select("o_orderkey", F.expr(_ASKED).alias("q")).withColumn("m", qs.magnitude_floor(F.col("q")))
     return q.select("o_orderkey", qs.named_day(F.col("q"), "2024-06-15").alias("day"), F.col("m.value").alias("floor"), F.col("m.inclusive").alias("inclusive"))

@@ -215,17 +215,43 @@ def candidate_grading(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.when((F.col("n_chars") > 3000) & (F.col("lang") == "en"), "strong").when(F.col("source").isin("src1", "src2"), "place").when(F.col("text").contains("rights"), "citation").otherwise("search").alias("grade"))
 
 
-_AUDIT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{r}', 1)) AS raw FROM documents" for k, r in privacy.RULES.items())
-
-
-@query(f"""WITH f AS (SELECT DISTINCT doc_id, kind, raw FROM ({_AUDIT})), o AS (SELECT *, list_transform(string_split(raw, '.'), lambda x: TRY_CAST(x AS INTEGER)) AS q FROM f),
-k AS (SELECT doc_id, raw, CASE WHEN kind <> 'ipv4' THEN kind WHEN list_max(q) > 255 THEN NULL WHEN q[1] = 127 THEN 'loopback_ip' WHEN q[1] = 169 AND q[2] = 254 THEN 'link_local_ip' WHEN q[1] = 10 OR (q[1] = 172 AND q[2] BETWEEN 16 AND 31) OR (q[1] = 192 AND q[2] = 168) THEN 'private_ip' ELSE 'public_ip' END AS kind FROM o)
-SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS documents, count(*) FILTER (WHERE kind = 'public_ip' OR regexp_matches(raw, '{privacy.PLACEHOLDER}')) AS informational FROM k WHERE kind IS NOT NULL GROUP BY kind""")
+# A line of settings under each text, so that every rule has something to find.
+_SETTING = """CASE doc_id % 14 WHEN 0 THEN concat('db 10.', doc_id % 256, '.0.7 or 1.2.3.4.5 and 8.8.4.', doc_id % 300) WHEN 1 THEN concat('mac 0a:1B:2c:3d:4e:', lpad(concat(doc_id % 100), 2, '0'), '; b00a:1B:2c:3d:4e:5f')
+WHEN 2 THEN 'see http://LocalHost:80/x' WHEN 3 THEN concat('at https://ann:pw', doc_id, '@a.org/x).') WHEN 4 THEN 'at http://username:password@a.org' WHEN 5 THEN concat('https://s3.org/k?x=1&X-Amz-Signature=', md5(concat(doc_id)))
+WHEN 6 THEN 'https://s3.org/k?X-Amz-Credential=REDACTED&y' WHEN 7 THEN concat('key AKIA', upper(left(md5(concat(doc_id)), 16)), '.') WHEN 8 THEN concat('Password = "', md5(concat(doc_id)), '" bearer: your_token_here')
+WHEN 9 THEN concat('ping ::1 fe80::', doc_id % 100, ' fd00::1 ff02::1 2001:db8::5 2600::', doc_id % 10, ' 4000::1 1:2:3 a::b::c :: x::1') WHEN 10 THEN concat('ghp_', md5(concat(doc_id)), ' sk-', md5(concat(doc_id, 'x')))
+WHEN 11 THEN '127.0.0.1 169.254.1.1 224.0.0.5 250.1.1.1 192.0.0.9 192.0.0.8 01.2.3.4 999.1.1.1' WHEN 12 THEN concat('eyJ', md5(concat(doc_id)), '.', md5('a'), '.', md5('b')) ELSE 'nothing' END"""
+_NAMES = "|".join(privacy.SECRET_NAMES)
+_RUN = "list_filter(regexp_extract_all(said, '[{s}]+'), lambda x: regexp_matches(x, '{f}'))"
+_URLS = """list_transform(regexp_extract_all(said, '(?i)https?://[^\\s"''<>]+'), lambda u: rtrim(u, '.,);]'))"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split_regex(concat(text, chr(10), {_SETTING}), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS said, generate_subscripts(string_split_regex(concat(text, chr(10), {_SETTING}), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), 1) AS line FROM documents),
+v4 AS (SELECT DISTINCT doc_id, line, unnest({_RUN.format(s="0-9.", f=privacy.V4_FORM)}) AS raw FROM l), o AS (SELECT *, list_transform(string_split(raw, '.'), lambda x: x::INTEGER) AS q, list_bool_or(list_transform(string_split(raw, '.'), lambda x: length(x) > 1 AND starts_with(x, '0'))) AS bad FROM v4),
+v6 AS (SELECT DISTINCT doc_id, line, unnest({_RUN.format(s="A-Za-z0-9_:", f=privacy.V6_FORM)}) AS raw FROM l), u AS (SELECT DISTINCT doc_id, line, unnest({_URLS}) AS raw FROM l WHERE contains(said, '://')),
+t AS (SELECT DISTINCT doc_id, line, kind, raw FROM (SELECT doc_id, line, 'aws_access_key' AS kind, unnest(regexp_extract_all(said, '{privacy.TOKENS["aws_access_key"]}', 1)) AS raw FROM l UNION ALL SELECT doc_id, line, 'github_token', unnest(regexp_extract_all(said, '{privacy.TOKENS["github_token"]}', 1)) FROM l
+UNION ALL SELECT doc_id, line, 'openai_key', unnest(regexp_extract_all(said, '{privacy.TOKENS["openai_key"]}', 1)) FROM l UNION ALL SELECT doc_id, line, 'jwt', unnest(regexp_extract_all(said, '{privacy.TOKENS["jwt"]}', 1)) FROM l
+UNION ALL SELECT doc_id, line, 'assigned_secret', unnest(regexp_extract_all(said, '(?i)\b(?:{_NAMES})\b\s*[:=]\s*["'']?([A-Za-z0-9_./+=:-]{{8,}})', 1)) FROM l)),
+k AS (SELECT doc_id, CASE WHEN bad OR list_max(q) > 255 THEN NULL WHEN q[1] = 127 THEN 'loopback_ip' WHEN q[1] = 169 AND q[2] = 254 THEN 'link_local_ip' WHEN q[1] IN (0, 10) OR q[1] >= 240 OR (q[1] = 172 AND q[2] BETWEEN 16 AND 31) OR (q[1] = 192 AND q[2] = 168) OR (q[1] = 192 AND q[2] = 0 AND q[3] = 2) OR (q[1] = 192 AND q[2] = 0 AND q[3] = 0 AND q[4] NOT IN (9, 10))
+OR (q[1] = 198 AND q[2] IN (18, 19)) OR (q[1] = 198 AND q[2] = 51 AND q[3] = 100) OR (q[1] = 203 AND q[2] = 0 AND q[3] = 113) THEN 'private_ip' WHEN q[1] BETWEEN 224 AND 239 THEN 'multicast_ip' ELSE 'public_ip' END AS kind FROM o
+UNION ALL SELECT doc_id, CASE WHEN raw IN ('::', '1:2:3', 'a::b::c') THEN NULL WHEN raw = '::1' THEN 'loopback_ip' WHEN raw LIKE 'fe80%' THEN 'link_local_ip' WHEN raw LIKE 'fd%' OR raw LIKE '2001:db8%' THEN 'private_ip' WHEN raw LIKE 'ff%' THEN 'multicast_ip' WHEN raw LIKE '2600%' THEN 'public_ip' WHEN raw LIKE '4000%' THEN 'reserved_ip' END FROM v6
+UNION ALL SELECT doc_id, 'mac_address' FROM (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(said, '(?:^|[^0-9A-Fa-f])((?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}})(?:$|[^0-9A-Fa-f])', 1)) AS raw FROM l) UNION ALL SELECT doc_id, 'internal_hostname' FROM (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(said, '(?i)\blocalhost\b')) AS raw FROM l)
+UNION ALL SELECT doc_id, CASE WHEN regexp_matches(raw, '//username') THEN 'credential_placeholder_url' ELSE 'credential_bearing_url' END FROM u WHERE regexp_matches(raw, '//[^/?#]+@') UNION ALL SELECT doc_id, CASE WHEN contains(raw, 'REDACTED') THEN 'redacted_presigned_url' ELSE 'aws_presigned_url' END FROM u WHERE contains(raw, 'X-Amz-')
+UNION ALL SELECT doc_id, CASE WHEN regexp_matches(raw, '{privacy.PLACEHOLDER}') THEN 'credential_placeholder' ELSE kind END FROM t)
+SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS documents, CASE WHEN kind IN ('public_ip', 'credential_placeholder', 'credential_placeholder_url', 'redacted_presigned_url') THEN count(*) ELSE 0 END AS informational FROM k WHERE kind IS NOT NULL GROUP BY kind""")
 def secret_audit(spark, sf):
-    f = privacy.findings(load(spark, sf, "documents"), "doc_id", "text")
+    d = load(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n"), F.expr(_SETTING)).alias("text"))
+    f = privacy.findings(d, "doc_id", "text")
     return f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.count_if("informational").alias("informational"))
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 5 AS r FROM events) SELECT event_id, CASE r WHEN 0 THEN 'gateway' WHEN 1 THEN 'IP_Address' WHEN 2 THEN 'hostname' WHEN 3 THEN 'ipv6' END AS key,
+CASE r WHEN 0 THEN 'private_ip_network_field' WHEN 1 THEN 'public_ip_network_field' WHEN 2 THEN 'sensitive_network_field' WHEN 3 THEN 'link_local_ip_network_field' END AS kind FROM e WHERE r < 4""")
+def network_settings(spark, sf):
+    setting = """CASE event_id % 5 WHEN 0 THEN '{"a": [{"gateway": "10.0.0.1", "x": 1}]}' WHEN 1 THEN '{"IP_Address":"8.8.8.8"}' WHEN 2 THEN '{"n": {"hostname" : "h1"}, "dns": "", "subnet": []}' WHEN 3 THEN '{"ipv6": "fe80::1", "ip": "none"}' ELSE '{"gate": "10.0.0.1"}' END"""
+    return privacy.network_fields(load(spark, sf, "events").select("event_id", F.expr(setting).alias("j")), "event_id", "j")
+
+
 @query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{privacy.PRIVATE_IPV4}', '[REDACTED PRIVATE ADDRESS]', 'g'), '(?i)(X-Amz-(?:Credential|Signature|Security-Token)=)[^&\s]+', '\1[REDACTED]', 'g'), '(?i)https?://(?:localhost|host\.docker\.internal)[^\s]*', '[REDACTED INTERNAL URL]', 'g'), '(?i)\b(?:localhost|host\.docker\.internal)\b', '[REDACTED INTERNAL HOST]', 'g')) AS digest FROM documents""")
 def redaction(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.md5(privacy.redact(F.col("text"))[0]).alias("digest"))

