@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import candidates, linking, relational, retrieval, searching, sequential, streaming, text_mining, time_series  # noqa: F401
+from . import candidates, citations, linking, relational, retrieval, searching, sequential, streaming, text_mining, time_series  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
