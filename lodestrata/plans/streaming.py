@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import upserts
+from ..sources.shared import fresh_path
 from ..sources.tables import epoch_seconds, load
 from ..streaming import events
 from .registry import query
@@ -25,3 +27,22 @@ def stream_sliding_counts(spark, sf):
 SELECT user_id, count(*) AS n, round(epoch_us(min(ts)) / 1e6, 3) AS started FROM r GROUP BY user_id, s""")
 def stream_sessions(spark, sf):
     return events.sessions(load(spark, sf, "events")).select("user_id", "n", F.round(epoch_seconds("start"), 3).alias("started"))
+
+
+@query("""WITH m AS (SELECT max(epoch_us(ts)) - 3600000000 AS frontier FROM events), w AS (SELECT CAST(floor(epoch_us(ts) / 6e8) AS BIGINT) AS bin, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT bin, event_type, n, CASE WHEN n >= 2 THEN 'good' ELSE 'thin' END AS grade FROM w, m WHERE (bin + 1) * 600000000 <= frontier""")
+def stream_closed_windows(spark, sf):
+    w = events.graded(events.closed_windows_of(load(spark, sf, "events")), 2)
+    return w.select(F.floor(epoch_seconds("start") / 600).alias("bin"), "event_type", "n", "grade")
+
+
+@query("""WITH c AS (SELECT user_id, event_id, CASE WHEN event_type <> 'signup' THEN value END AS value, event_type = 'signup' AS deleted FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM c)
+SELECT user_id, event_id, value FROM r WHERE k = 1 AND NOT deleted""")
+def table_after_changes(spark, sf):
+    """The table that three batches of changes leave, one of them given twice."""
+    path = fresh_path(spark, "kept")
+    gone = F.col("event_type") == "signup"
+    changes = load(spark, sf, "events").select("user_id", "event_id", F.when(~gone, F.col("value")).alias("value"), gone.alias("deleted"))
+    for batch, part in ((0, 1), (1, 0), (1, 2), (2, 2)):
+        upserts.apply(changes.where(F.col("event_id") % 3 == part), batch, path, ["user_id"], "event_id")
+    return upserts.live(upserts.read(spark, path))

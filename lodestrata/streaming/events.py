@@ -24,6 +24,35 @@ def window_counts(events: DataFrame, width: str = "10 minutes", slide: str | Non
     return events.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select("w.start", "w.end", "event_type", "n", "mean")
 
 
+def closed_windows(events: DataFrame, width: str = "10 minutes") -> DataFrame:
+    """Windows that the frontier has passed: on a stream, in append mode, each comes once, when the watermark reaches its
+    end; what has not been reached is no gap yet. Rows behind the watermark change nothing."""
+    return window_counts(events, width)
+
+
+def closed_windows_of(table: DataFrame, lateness: str = "1 hour", width: str = "10 minutes") -> DataFrame:
+    """The batch twin of ``closed_windows``: the windows that end at or before the newest row less ``lateness``."""
+    frontier = table.agg((F.max("ts") - F.expr(f"INTERVAL {lateness}")).alias("frontier"))
+    return window_counts(table, width).crossJoin(F.broadcast(frontier)).where("end <= frontier").drop("frontier")
+
+
+def graded(windows: DataFrame, needed: int) -> DataFrame:
+    """Each closed window's grade: 'good' from ``needed`` rows on, else 'thin'."""
+    return windows.withColumn("grade", F.when(F.col("n") >= needed, "good").otherwise("thin"))
+
+
+def keep_current(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
+    """Applies a stream of changes to the table at ``path``, each batch once however often the stream is restarted."""
+    from ..sources import upserts
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        upserts.apply(batch, batch_id, path, keys, order)
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Sessions of users: a new one after ``gap`` without events."""
     return events.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", "s.start", "s.end", "n")
