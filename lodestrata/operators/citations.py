@@ -22,13 +22,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import spread
 from ..sources.shared import materialize
 from ..sources.shipping import ship
 from .components import connected_components
+from .windows import numbered_in_order
 
 #: Fixed value: titles shorter than this, in letters and digits, prove nothing.
 TITLE = 35
@@ -45,16 +46,6 @@ def plain_doi(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^https?://(?:dx\.)?doi.org/", ""), "[.,;]+$", ""))
 
 
-def numbered_in_order(df: DataFrame, order: str, name: str) -> DataFrame:
-    """``df`` with each row's place from 0 by ``order``, without a sort in one task: sorted ranges, and the sizes of those before."""
-    sorted_ = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
-    held = materialize(sorted_, "ordered").withColumn("_range", F.shiftright("_m", 33))
-    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)
-    return held.join(F.broadcast(before), "_range").withColumn(name, place).drop("_range", "_m", "_before")  # a row a partition
-
-
 def title_matches(texts: DataFrame, works: DataFrame) -> DataFrame:
     """text, titles, work: how many works' titles a plain text holds, and the one if there is one."""
     titled = works.select("work", plain(F.col("title")).alias("title")).where(F.length("title") >= TITLE).withColumn("head", F.xxhash64(F.substring("title", 1, TITLE)))
@@ -132,6 +123,6 @@ def match_citations(occurrences: DataFrame, works: DataFrame, next_number: int,
     d, t = F.coalesce(stood("doi_log"), "known"), F.coalesce(stood("text_log"), "known_text")
     looked = both.select("occurrence", F.coalesce(d, t, F.when(F.col("titles") == 1, F.col("title_work"))).alias("work"), F.when(d.isNotNull(), "doi").when(t.isNotNull(), "exact_citation").otherwise("title").alias("method"))
     every = decided.select("occurrence", "work", "method").unionByName(looked)
-    made = numbered_in_order(decided.where("method = 'new_work'").select("occurrence", F.col("work").alias("made")), "occurrence", "place")
+    made = numbered_in_order(decided.where("method = 'new_work'").select("occurrence", F.col("work").alias("made")), ["occurrence"], "place")
     named = made.select("made", F.concat(F.lit(prefix), (F.col("place") + next_number).cast("string")).alias("name"))
     return every.join(named, every["work"] == named["made"], "left").select("occurrence", F.coalesce("name", "work").alias("work"), "method")

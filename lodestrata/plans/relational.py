@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import joins, windows
 from ..sources.tables import epoch_seconds, load
 from .registry import query
 
@@ -78,9 +78,9 @@ def join_semi(spark, sf):
     return load(spark, sf, "customer").join(load(spark, sf, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def join_anti(spark, sf):
-    return load(spark, sf, "customer").join(load(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return load(spark, sf, "customer").join(load(spark, sf, "orders").where("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT s_suppkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey OR s_suppkey % 25 = n_nationkey GROUP BY s_suppkey")
@@ -349,23 +349,31 @@ def distinct_on(spark, sf):
 
 @query("SELECT event_id, round(sum(value) OVER w, 4) AS running, max(value) OVER w AS peak FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_sums(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, sf, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("running"), F.max("value").over(w).alias("peak"))
+    r = windows.running(load(spark, sf, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "value")
+    return r.select("event_id", F.round("running_sum", 4).alias("running"), F.col("running_max").alias("peak"))
 
 
 @query("""SELECT event_id, CASE WHEN count(*) OVER e = 24 THEN round(avg(value) OVER e, 6) END AS even_mean, CASE WHEN count(*) OVER o = 25 THEN round(avg(value) OVER o, 6) END AS odd_mean
 FROM events WINDOW e AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING), o AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)""")
 def rolling_means(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e, o = w.rowsBetween(-12, 11), w.rowsBetween(-12, 12)
     n = F.count(F.lit(1))
-    return load(spark, sf, "events").select("event_id", F.when(n.over(e) == 24, F.round(F.avg("value").over(e), 6)).alias("even_mean"), F.when(n.over(o) == 25, F.round(F.avg("value").over(o), 6)).alias("odd_mean"))
+
+    def means(frame):
+        e, o = frame(-12, 11), frame(-12, 12)
+        return [F.when(n.over(e) == 24, F.round(F.avg("value").over(e), 6)).alias("even_mean"), F.when(n.over(o) == 25, F.round(F.avg("value").over(o), 6)).alias("odd_mean")]
+
+    events = load(spark, sf, "events").select("event_type", "ts", "event_id", "value")
+    return windows.over_rows(events, ["event_type"], ["ts", "event_id"], 12, 12, means).select("event_id", "even_mean", "odd_mean")
 
 
 @query("SELECT event_id, CASE WHEN count(*) OVER w >= 8 THEN round(quantile_cont(value, 0.5) OVER w, 6) END AS med FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)")
 def rolling_median(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-7, 7)
-    return load(spark, sf, "events").select("event_id", F.when(F.count(F.lit(1)).over(w) >= 8, F.round(F.percentile("value", 0.5).over(w), 6)).alias("med"))
+    def median(frame):
+        w = frame(-7, 7)
+        return [F.when(F.count(F.lit(1)).over(w) >= 8, F.round(F.percentile("value", 0.5).over(w), 6)).alias("med")]
+
+    events = load(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    return windows.over_rows(events, ["user_id"], ["ts", "event_id"], 7, 7, median).select("event_id", "med")
 
 
 @query("""WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents), c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) AS k FROM r)
@@ -407,9 +415,9 @@ def next_chunk_edges(spark, sf):
     return load(spark, sf, "conversations").select("conv_id", "turn", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("next_turn"))
 
 
-@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_retailprice > 1000 ORDER BY (p_size > 25) DESC, p_brand NULLS LAST, CASE p_type WHEN 'ECONOMY' THEN 1 ELSE 2 END, p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_retailprice > 500 ORDER BY (p_size > 25) DESC, p_brand NULLS LAST, CASE p_type WHEN 'ECONOMY' THEN 1 ELSE 2 END, p_partkey LIMIT 50")
 def sort_multi_key(spark, sf):
-    p = load(spark, sf, "part").where("p_retailprice > 1000")
+    p = load(spark, sf, "part").where("p_retailprice > 500")
     return p.orderBy((F.col("p_size") > 25).desc(), F.asc_nulls_last("p_brand"), F.when(F.col("p_type") == "ECONOMY", 1).otherwise(2), "p_partkey").limit(50).select("p_partkey", "p_brand", "p_size")
 
 
