@@ -13,4 +13,4 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_only_sequential_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == {"citation_matching", "site_clusters", "tidal_fit"}
+    assert set(QUERIES) - set(SQL) == {"citation_matching", "site_clusters", "skeleton_lines", "tidal_fit"}
