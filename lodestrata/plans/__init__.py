@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import candidates, citations, linking, packets, rasters, relational, retrieval, searching, sequential, signals, streaming, text_mining, time_series  # noqa: F401
+from . import candidates, citations, linking, packets, rasters, readers, relational, retrieval, searching, sequential, signals, streaming, text_mining, time_series  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.windows import running
 from .shipping import ship
 
 
@@ -59,8 +60,8 @@ def hypocentre_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def headed_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header row, a byte-order mark allowed, with the file each row came from; values are text unless a schema is given."""
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("mode", "PERMISSIVE")
+    """CSV with a header row, a byte-order mark and doubled quotes allowed, with the file each row came from; values are text unless a schema is given."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
     rows = (reader.schema(schema) if schema else reader).csv(path)
     clean = [F.col(f"`{c}`").alias(c.lstrip("﻿").strip()) for c in rows.columns]
     return rows.select(*clean, F.col("_metadata.file_path").alias("file"))
@@ -106,11 +107,11 @@ def _number(c: Column) -> Column:
 
 def nested_picks(lines: DataFrame, order: str, line: str = "value") -> DataFrame:
     """A '#' row opens an event, the rows after it are its picks: (header, picks array)."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    if "file" in lines.columns:
-        w = Window.partitionBy("file").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    keys = ["file", "event"] if "file" in lines.columns else ["event"]
-    numbered = lines.withColumn("head", F.col(line).startswith("#")).withColumn("event", F.sum(F.col("head").cast("int")).over(w)).where("event > 0")
+    files = ["file"] if "file" in lines.columns else []
+    keys = [*files, "event"]
+    heads = lines.withColumn("head", F.col(line).startswith("#")).withColumn("_opens", F.col("head").cast("int"))
+    # A running count over blocks of rows: one long file is not one task's.
+    numbered = running(heads, files, [order], "_opens").withColumnRenamed("running_sum", "event").where("event > 0")
     return numbered.groupBy(*keys).agg(
         F.max(F.when(F.col("head"), F.trim(F.substring(F.col(line), F.lit(2), F.length(line))))).alias("header"),
         F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct(order, F.split(F.trim(F.col(line)), r"\s+").alias("pick"))))), lambda x: x.pick).alias("picks"),
