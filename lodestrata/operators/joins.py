@@ -76,6 +76,15 @@ def within_radius(left: DataFrame, right: DataFrame, radius_km: float) -> DataFr
     l = left.select("lid", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).withColumn("r", row(F.col("lat1")))
     l = l.withColumn("c", F.floor(F.col("lon1") / width(F.col("r"))))
     q = right.select("rid", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).withColumn("r", F.explode(F.array(*[row(F.col("lat2")) + i for i in (-1, 0, 1)])))
-    q = q.withColumn("c", F.explode(F.array(*[F.floor(F.col("lon2") / width(F.col("r"))) + i for i in (-1, 0, 1)])))
+    # A point near the 180th meridian stands beyond it as well.
+    beyond = F.filter(F.array(F.col("lon2"), F.col("lon2") - 360, F.col("lon2") + 360), lambda x: F.abs(x) <= 180 + 2 * width(F.col("r")))
+    q = q.withColumn("at", F.explode(beyond))
+    q = q.withColumn("c", F.explode(F.array(*[F.floor(F.col("at") / width(F.col("r"))) + i for i in (-1, 0, 1)])))
     km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return l.join(q, ["r", "c"]).withColumn("km", km).where(F.col("km") <= radius_km).select("lid", "rid", "km").distinct()
+
+
+def nearest_within(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
+    """lid, rid, km: for each left point the nearest right one within ``radius_km``, ties to the smaller rid."""
+    best = within_radius(left, right, radius_km).groupBy("lid").agg(F.min(F.struct("km", "rid")).alias("best"))
+    return best.select("lid", "best.rid", "best.km")
