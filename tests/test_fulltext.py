@@ -4,7 +4,6 @@ import itertools
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import stemming
@@ -66,17 +65,17 @@ def brute(fields, groups):
     return rank
 
 
-@pytest.mark.parametrize("question", ["qa qb", 'qa "qb qc"', '"qa the qb" or qc qd', "qa -qb", 'qa qc -"qb qb" or qd', "-qa", 'qa or "qa qa" qb', "qz", "qa qz or qb"])
-def test_search_equals_every_run_of_hits(spark, question):
+def test_search_equals_every_run_of_hits(spark):
     rng = random.Random(5)
     words = ["qa", "qb", "qc", "qd", "the", "xx", "xy"]
     rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 3))), " ".join(rng.choices(words, k=rng.randint(0, 14)))) for i in range(60)] + [(60, None, None)]
     index = fulltext.build(spark.createDataFrame(rows, "id long, title string, body string"), "id", [(F.col("title"), "A"), (F.col("body"), "C")])
-    found = {r["id"]: r["rank"] for r in fulltext.search(index, question).collect()}
-    groups = fulltext.alternatives(question)
-    wanted = {i: r for i, t, b in rows if (r := brute([(t or "", "A"), (b or "", "C")], groups)) is not None}
-    assert found.keys() == wanted.keys()
-    assert all(abs(found[i] - wanted[i]) < 1e-9 for i in wanted)
+    for question in ("qa qb", 'qa "qb qc"', '"qa the qb" or qc qd', "qa -qb", 'qa qc -"qb qb" or qd', "-qa", 'qa or "qa qa" qb', "qz", "qa qz or qb"):
+        found = {r["id"]: r["rank"] for r in fulltext.search(index, question).collect()}
+        groups = fulltext.alternatives(question)
+        wanted = {i: r for i, t, b in rows if (r := brute([(t or "", "A"), (b or "", "C")], groups)) is not None}
+        assert found.keys() == wanted.keys(), question
+        assert all(abs(found[i] - wanted[i]) < 1e-9 for i in wanted), question
 
 
 def test_an_index_reads_only_the_buckets_of_its_words(spark):

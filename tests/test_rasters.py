@@ -9,9 +9,9 @@ from lodestrata.sources import tiles
 
 def shape(seed):
     rng = np.random.default_rng(seed)
-    a = np.zeros((70, 90), bool)
-    for _ in range(9):
-        (x0, x1), (y0, y1) = rng.integers(6, 84, 2), rng.integers(6, 64, 2)
+    a = np.zeros((46, 58), bool)
+    for _ in range(5):
+        (x0, x1), (y0, y1) = rng.integers(6, 52, 2), rng.integers(6, 40, 2)
         for t in np.linspace(0, 1, 150):
             x, y = int(x0 + t * (x1 - x0)), int(y0 + t * (y1 - y0))
             a[y - 3 : y + 4, x - 3 : x + 4] = True
@@ -27,14 +27,14 @@ def whole(a):
         a = b
 
 
-@pytest.mark.parametrize(("tile", "halo"), [(16, 2), (32, 4), (256, 16)])
+@pytest.mark.parametrize(("tile", "halo"), [(16, 4), (256, 16)])
 def test_tiles_thin_like_the_whole(spark, tile, halo):
     a = shape(1)
     y, x = np.nonzero(a)
     df = spark.createDataFrame([(int(i) - 40, int(j) - 20) for i, j in zip(x, y, strict=True)], "x long, y long")
     got = {(r.x, r.y) for r in skeleton.thinned(df, tile, halo).collect()}
     y, x = np.nonzero(whole(a))
-    assert got == {(int(i) - 40, int(j) - 20) for i, j in zip(x, y, strict=True)} and 50 < len(got) < a.sum() / 3
+    assert got == {(int(i) - 40, int(j) - 20) for i, j in zip(x, y, strict=True)} and 30 < len(got) < a.sum() / 3
     assert skeleton.thinned(df.limit(0)).count() == 0
 
 
@@ -66,9 +66,9 @@ def sequence(edges, longest):
 
 def test_dead_ends_go_in_rounds(spark):
     rng = np.random.default_rng(4)
-    tree = [(i, int(rng.integers(max(0, i - 6), i)), float(rng.integers(1, 9))) for i in range(1, 60)] + [(5, 40, 3.0), (100, 101, 1.0), (101, 102, 1.0), (102, 100, 1.0), (200, 201, 1.0)]
+    tree = [(i, int(rng.integers(max(0, i - 6), i)), float(rng.integers(1, 9))) for i in range(1, 45)] + [(5, 40, 3.0), (100, 101, 1.0), (101, 102, 1.0), (102, 100, 1.0), (200, 201, 1.0)]
     df = spark.createDataFrame(tree, "a long, b long, length double")
-    for longest in (0.5, 6.0, 30.0):
+    for longest in (0.5, 12.0):
         assert {(r.a, r.b) for r in skeleton.pruned(df, longest).collect()} == sequence(tree, longest)
 
 
