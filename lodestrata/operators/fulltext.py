@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stemming
 from ..functions.text import spread
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, materialize
 
 QUERY_LENGTH = 1000
 BUCKETS = 16
@@ -65,14 +65,17 @@ def _bucket(stem: Column) -> Column:
     return F.pmod(F.xxhash64(stem), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def places(fields: list[tuple[Column, str]]) -> Column:
-    """The words of all fields in order, with position and weight; a field goes on where the one before ended."""
+def placed_words(docs: DataFrame, id_: str, fields: list[tuple[Column, str]]) -> DataFrame:
+    """id and found: the words of all fields in order, with position and weight; a field goes on where the one before ended."""
+    cut = [F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1).alias(f"_w{i}") for i, (text, _) in enumerate(fields)]
+    # Words and their numbers are columns of their own: within a lambda they would be made again for every word.
+    held = docs.select(F.col(id_), *cut)
+    held = held.select("*", *[F.size(f"_w{i}").alias(f"_n{i}") for i in range(len(fields))])
     parts, before = [], F.lit(0)
-    for text, weight in fields:
-        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1)
-        parts.append(F.transform(words, _placed(before, WEIGHTS[weight])))
-        before = before + F.size(words)
-    return F.concat(*parts)
+    for i, (_, weight) in enumerate(fields):
+        parts.append(F.transform(f"_w{i}", _placed(before, WEIGHTS[weight])))
+        before = before + F.col(f"_n{i}")
+    return held.select(id_, F.concat(*parts).alias("found"), before.alias("length"))
 
 
 def _placed(before: Column, weight: float):
@@ -83,13 +86,15 @@ def build(docs: DataFrame, id_: str, fields: list[tuple[Column, str]], label: st
     """Index the ``fields`` of ``docs``, each with the letter of its weight."""
     spark = docs.sparkSession
     index = Index(spark, fresh_path(spark, label), id_)
-    found = docs.select(F.col(id_), places(fields).alias("found"))
-    found.select(id_, F.size("found").alias("length")).write.parquet(f"{index.path}/documents")
+    found = placed_words(docs, id_, fields)
+    found.select(id_, "length").write.parquet(f"{index.path}/documents")
     size = spark.read.parquet(f"{index.path}/documents").agg(F.sum("length")).first()[0] or 0
-    rows = spread(found, [id_], F.col("found"), "hit").where(~F.col("hit.word").isin(stemming.STOP_WORDS))
+    rows = spread(found.select(id_, "found"), [id_], F.col("found"), "hit").where(~F.col("hit.word").isin(stemming.STOP_WORDS))
     grouped = rows.groupBy(id_, F.col("hit.word").alias("word")).agg(F.collect_list(F.struct("hit.pos", "hit.weight")).alias("places"))
     parts = max(1, -(-size // (PART_ROWS * BUCKETS)))
-    dealt = stemming.stem(grouped).select("stem", id_, "places", _bucket(F.col("stem")), F.pmod(F.xxhash64(id_), F.lit(parts)).alias("part"))
+    grouped = materialize(grouped, "words")
+    stems = materialize(stemming.stem(grouped.select("word").distinct()), "stems")  # each different word is stemmed once
+    dealt = grouped.join(stems, "word").select("stem", id_, "places", _bucket(F.col("stem")), F.pmod(F.xxhash64(id_), F.lit(parts)).alias("part"))
     dealt.repartition(BUCKETS * parts, "bucket", "part").drop("part").sortWithinPartitions("bucket", "stem", id_).write.partitionBy("bucket").parquet(f"{index.path}/postings")
     return index
 
