@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import questions as qs
 from lodestrata.operators import linking
+from lodestrata.plans import QUERIES
 from lodestrata.sources import builds
 
 
@@ -92,3 +93,9 @@ def test_sites_of_sensors_apart_say_nothing(spark):
     named = spark.createDataFrame([(2, "margin")], "paper int, site string")
     got = linking.study_sites(used, named, [("vents", "AX01")], [("vents", "volcano")])
     assert sorted(map(tuple, got.collect())) == [(1, "vents", "sensors"), (1, "volcano", "sensors"), (2, "margin", "named")]
+
+
+def test_anti_join_reads_every_order(spark, tmp_path):
+    spark.range(4).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, 5.0), (2, 500000.0)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.c_custkey for r in QUERIES["join_anti"](spark, str(tmp_path)).collect()} == {1, 3}
