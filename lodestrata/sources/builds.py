@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 
 def verify_files(spark: SparkSession, root: str, catalog: DataFrame) -> DataFrame:
     """(path, problem) of a catalog (path below ``root``, byte_size, sha256, records); problem is null for a sound file.
@@ -35,6 +41,37 @@ def mark(records: DataFrame, key: str, content: str) -> dict[str, str]:
     return {"record_count": str(n), "rows": "-".join(str(int(s or 0)) for s in sums)}
 
 
+def digest_in_order(values: DataFrame, column: str) -> DataFrame:
+    """One row: fingerprint, the SHA-256 of the strings of ``column`` sorted and joined by commas, nulls left out, and n, the count of all rows.
+
+    Tasks sort ranges and join them to blocks; one task digests the blocks as they come and holds a batch of them.
+    The fingerprint of no rows is null.
+    """
+    ship(values.sparkSession)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).drop_null()
+            block = pa.array([",".join(own.to_pylist())] if len(own) else [None], pa.string())
+            ends = [pa.array([own[i].as_py() if len(own) else None], pa.string()) for i in (0, -1)]
+            yield pa.RecordBatch.from_arrays([*ends, block, pa.array([batch.num_rows], pa.int64())], ["first", "last", "block", "n"])
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n, some = hashlib.sha256(), 0, False
+        for batch in batches:
+            for block, rows in zip(batch.column("block"), batch.column("n").to_pylist(), strict=True):
+                n += rows
+                if block.is_valid:
+                    digest.update(("," if some else "").encode() + block.as_py().encode())
+                    some = True
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest() if n else None], pa.string()), pa.array([n], pa.int64())], ["fingerprint", "n"])
+
+    # Blocks are runs of one order, so their ends put them back into it, equal values too.
+    blocks = values.select(column).orderBy(F.col(column).asc_nulls_first()).mapInArrow(joined, "first string, last string, block string, n long")
+    none = values.sparkSession.createDataFrame([(None, None, None, 0)], blocks.schema)  # so that the one task runs without rows as well
+    return blocks.unionByName(none).repartition(1).sortWithinPartitions(F.col("first").asc_nulls_first(), "last").mapInArrow(digested, "fingerprint string, n long")
+
+
 def resume(records: DataFrame, path: str, required: dict[str, str], key: str, content: str) -> DataFrame:
     """Rows of ``records`` that the build at ``path`` has still to do.
 

@@ -99,3 +99,17 @@ def test_anti_join_reads_every_order(spark, tmp_path):
     spark.range(4).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(0, 5.0), (2, 500000.0)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     assert {r.c_custkey for r in QUERIES["join_anti"](spark, str(tmp_path)).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("rows", [[], [None, None], ["b", None, "a", "b"], [f"{i * 7919 % 1000}" for i in range(25_000)], ["a", "c", *["b"] * 25_000]])
+def test_digest_in_order_is_that_of_the_sorted_list(spark, rows):
+    known = sorted(r for r in rows if r is not None)
+    wanted = hashlib.sha256(",".join(known).encode()).hexdigest() if rows else None
+    found = builds.digest_in_order(spark.createDataFrame([(r,) for r in rows], "h string").repartition(3), "h").collect()
+    assert [tuple(r) for r in found] == [(wanted, len(rows))]
+
+
+def test_fingerprint_takes_in_the_last_digits(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("|"), "text"), 256).alias("h"))
+    wanted = hashlib.sha256(",".join(sorted(r.h for r in d.collect())).encode()).hexdigest()
+    assert QUERIES["build_fingerprint"](spark, sf_dir).first().fingerprint == wanted
