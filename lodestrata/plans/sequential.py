@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, sites
+from ..operators import chunking, joins, sites
 from ..sources.tables import load
 from .registry import query
 
@@ -48,10 +48,8 @@ def site_clusters(spark, sf):
 @query("""WITH p AS (SELECT p_partkey, p_brand, p_size, lower(p_name || ' ' || p_type) AS title FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.title, b.title) * 1.0 / greatest(length(a.title), length(b.title)), 6) AS ratio
 FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.title, b.title) * 1.0 / greatest(length(a.title), length(b.title)) >= 0.6""")
 def fuzzy_title_join(spark, sf):
-    p = load(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("title"))
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    ratio = 1 - F.levenshtein("a.title", "b.title") / F.greatest(F.length("a.title"), F.length("b.title"))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), ratio.alias("r")).where("r >= 0.6").select("a", "b", F.round("r", 6).alias("ratio"))
+    p = load(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.lower(F.concat("p_name", F.lit(" "), "p_type")).alias("title"))
+    return joins.similar_titles(p, "p_partkey", ["p_brand", "p_size"], "title", 0.6).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 @query(r"""WITH q AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^.?!]+[.?!]')) AS part FROM conversations) SELECT conv_id, turn, count(*) AS parts, max(length(trim(part)))::BIGINT AS longest FROM q GROUP BY ALL""")
@@ -64,8 +62,6 @@ def question_parts(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY regexp_matches(word, '[0-9]') DESC, regexp_matches(word, '^[A-Z]') DESC, length(word) DESC, word) AS k FROM w)
 SELECT conv_id, turn, k, word FROM r WHERE k <= 6""")
 def distinctive_words(spark, sf):
-    from ..operators import joins
-
     w = load(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]{4,})"), 1)).alias("word")).distinct()
     order = [F.col("word").rlike("[0-9]").desc(), F.col("word").rlike("^[A-Z]").desc(), F.desc(F.length("word")), "word"]
     return joins.top_per_group(w, ["conv_id", "turn"], order, 6, "k").select("conv_id", "turn", "k", "word")

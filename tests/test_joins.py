@@ -33,3 +33,21 @@ def test_places_are_compared_once_however_many_points_stand_there(spark):
     assert len(found) == len(wanted) and {(r.lid, r.rid): r.km for r in found} == pytest.approx(wanted)
     nearest = {r.lid: r.rid for r in joins.nearest_within(left, right, 120.0).collect()}
     assert nearest == {i: min((km(a, b), j) for j, b in there.items())[1] for i, a in at.items()}
+
+
+def distance(s, t):
+    row = list(range(len(t) + 1))
+    for i, a in enumerate(s, 1):
+        before, row = row, [i]
+        for j, b in enumerate(t, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (a != b)))
+    return row[-1]
+
+
+def test_similar_titles_pair_all_their_ids(spark):
+    titles = ["large ring small", "large rung small", "large ring", "hot bolt", "hot bolts", None, "x"]
+    rows = [(i, i % 2, titles[i % len(titles)]) for i in range(42)]
+    found = joins.similar_titles(spark.createDataFrame(rows, "id long, k long, title string"), "id", ["k"], "title", 0.6).collect()
+    ratio = lambda s, t: 1 - distance(s, t) / max(len(s), len(t))
+    wanted = {(i, j): ratio(s, t) for i, k, s in rows for j, m, t in rows if i < j and k == m and s and t and ratio(s, t) >= 0.6}
+    assert len(found) == len(wanted) and {(r.a, r.b): r.ratio for r in found} == pytest.approx(wanted)
