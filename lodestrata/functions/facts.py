@@ -18,8 +18,8 @@ def states_date(text: Column, day: Column) -> Column:
 
 
 def states_number(text: Column, value: Column, tolerance: Column) -> Column:
-    """A number of the text, with commas between its digits or not, lies within ``tolerance`` of ``value``."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9][0-9,]*\.?[0-9]*)"), 1), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("double"))
+    """A number of the text, with commas between its digits or not, lies within ``tolerance`` of ``value``; the digits of a code such as AB-12 are none."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z_]+-?[0-9][\w-]*|([0-9][0-9,]*\.?[0-9]*)"), 1), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("double"))
     return F.exists(numbers, lambda n: F.coalesce(F.abs(n - value) <= tolerance, F.lit(False)))
 
 

@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions import facts
 from lodestrata.operators import joins
 
 
@@ -51,3 +52,9 @@ def test_similar_titles_pair_all_their_ids(spark):
     ratio = lambda s, t: 1 - distance(s, t) / max(len(s), len(t))
     wanted = {(i, j): ratio(s, t) for i, k, s in rows for j, m, t in rows if i < j and k == m and s and t and ratio(s, t) >= 0.6}
     assert len(found) == len(wanted) and {(r.a, r.b): r.ratio for r in found} == pytest.approx(wanted)
+
+
+@pytest.mark.parametrize(("text", "stated"), [("A-61000", False), ("5 Mar. 1995 XA-61000", False), ("A-61000-B", False), ("at 61,000.0 m by A-7", True), ("near 61000, unit a-5.", True), ("about -61000", True)])
+def test_digits_of_a_code_are_no_number(spark, text, stated):
+    row = spark.range(1).select(facts.states_number(F.lit(text), F.lit(61000.0), F.lit(10.0)).alias("ok")).first()
+    assert row.ok is stated
