@@ -37,8 +37,10 @@ def papers_naming(passages: DataFrame, codes: list[str], id_: str, paper: str, b
             hits.append(F.when(within > 0, F.struct(F.lit(code).alias("code"), within.alias("n"))))
     if not hits:
         return passages.where("false").select(F.col(paper).alias("paper"), F.lit(0).cast("long").alias("passages"), F.col(id_).alias("best"), F.array().cast("array<string>").alias("named"))
-    found = spans.select("paper", "id", F.array_compact(F.array(*hits)).alias("hits")).where(F.size("hits") > 0)
-    found = found.select("paper", "id", F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n"), F.array_distinct(F.transform("hits", lambda x: x["code"])).alias("codes"))
+    found = spans.select("paper", "id", F.array_compact(F.array(*hits)).alias("hits"))
+    # A filter on the hits would be pushed below them and make them again, expression by expression.
+    both = F.struct(F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n"), F.array_distinct(F.transform("hits", lambda x: x["code"])).alias("codes"))
+    found = spread(found, ["paper", "id"], F.when(F.size("hits") > 0, F.array(both)), "hit").select("paper", "id", "hit.n", "hit.codes")
     found = materialize(found, "naming")  # read twice below
     papers = found.groupBy("paper").agg(F.count_distinct("id").alias("passages"), F.min_by("id", F.struct(-F.col("n"), "id")).alias("best"))
     named = spread(found, ["paper"], F.col("codes"), "code").groupBy("paper").agg(F.array_sort(F.collect_set("code")).alias("named"))  # at most MOST_CODES
