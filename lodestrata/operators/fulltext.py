@@ -34,6 +34,8 @@ from ..sources.shared import fresh_path, materialize
 QUERY_LENGTH = 1000
 BUCKETS = 16
 PART_ROWS = 2_000_000
+#: Words with their stems up to this many are sent to every task.
+VOCABULARY = 200_000
 #: What a hit weighs by the field it stands in.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 WORD = r"[\p{L}\p{N}]+"
@@ -89,16 +91,26 @@ def build(docs: DataFrame, id_: str, fields: list[tuple[Column, str]], label: st
     found = placed_words(docs, id_, fields)
     found.select(id_, "length").write.parquet(f"{index.path}/documents")
     size = spark.read.parquet(f"{index.path}/documents").agg(F.sum("length")).first()[0] or 0
-    rows = spread(found.select(id_, "found"), [id_], F.col("found"), "hit").where(~F.col("hit.word").isin(stemming.STOP_WORDS))
-    grouped = rows.groupBy(id_, F.col("hit.word").alias("word")).agg(F.collect_list(F.struct("hit.pos", "hit.weight")).alias("places"))
+    words = spread(found.select("found"), [], F.transform("found", lambda w: w["word"]), "word").distinct()
+    stems = materialize(stemming.stem(words.where(~F.col("word").isin(stemming.STOP_WORDS))), "stems")  # each different word is stemmed once
+    stems = F.broadcast(stems) if stems.count() <= VOCABULARY else stems
+    # Texts are dealt by document once, so words are grouped where they are cut; a place is one number until it is written.
+    here = placed_words(docs.repartition(id_), id_, fields)
+    rows = spread(here.select(id_, "found"), [id_], F.col("found"), "hit").where(~F.col("hit.word").isin(stemming.STOP_WORDS))
+    kinds = F.array(*[F.lit(w) for w in WEIGHTS.values()])
+    place = (F.col("hit.pos") * len(WEIGHTS) + F.array_position(kinds, F.col("hit.weight")) - 1).cast("int")
+    grouped = rows.groupBy(id_, F.col("hit.word").alias("word")).agg(F.collect_list(place).alias("places"))
     parts = max(1, -(-size // (PART_ROWS * BUCKETS)))
-    grouped = materialize(grouped, "words")
-    stems = materialize(stemming.stem(grouped.select("word").distinct()), "stems")  # each different word is stemmed once
     dealt = grouped.join(stems, "word").select("stem", id_, "places", _bucket(F.col("stem")), F.pmod(F.xxhash64(id_), F.lit(parts)).alias("part"))
-    dealt.repartition(BUCKETS * parts, "bucket", "part").drop("part").sortWithinPartitions("bucket", "stem", id_).write.partitionBy("bucket").parquet(f"{index.path}/postings")
+    dealt.repartition(BUCKETS * parts, "bucket", "part").drop("part").sortWithinPartitions("bucket", "stem", id_).withColumn("places", F.transform("places", _unpacked)).write.partitionBy("bucket").parquet(f"{index.path}/postings")
     return index
 
 
+def _unpacked(place: Column) -> Column:
+    kinds = F.array(*[F.lit(w) for w in WEIGHTS.values()])
+    return F.struct(F.floor(place / len(WEIGHTS)).cast("int").alias("pos"), F.get(kinds, F.pmod(place, F.lit(len(WEIGHTS)))).alias("weight"))
+
+
 class Item(NamedTuple):
     """Words that stand at fixed distances from the first, wanted or excluded."""
 

@@ -101,3 +101,10 @@ def test_exact_ranks_without_sorting_all(spark):
     wanted = {r[0]: k for k, r in enumerate(order, 1)}
     found = retrieval.exact_ranks(df, "id", "s", df.where("id % 3 = 0").select("id")).collect()
     assert {r["id"]: r["rank"] for r in found} == {i: k for i, k in wanted.items() if i % 3 == 0}
+
+
+def test_places_of_an_index_are_those_of_the_words(spark):
+    docs = spark.createDataFrame([(1, "one two one", "two"), (2, None, "of one"), (3, "", "")], "id long, a string, b string")
+    index = fulltext.build(docs, "id", [(F.col("a"), "A"), (F.col("b"), "D")])
+    found = {(r.id, r.stem): sorted(tuple(p) for p in r.places) for r in index.postings.collect()}
+    assert found == {(1, "one"): [(1, 1.0), (3, 1.0)], (1, "two"): [(2, 1.0), (4, 0.1)], (2, "one"): [(2, 0.1)]}
