@@ -118,3 +118,26 @@ def test_the_query_equals_the_whole_raster(spark, sf_dir):
             if (cx + dx, cy + dy) in left and not (dx and dy and ((cx + dx, cy) in left or (cx, cy + dy) in left)):
                 edges.append((name((cx, cy)), name((cx + dx, cy + dy)), (dx * dx + dy * dy) ** 0.5))
     assert {(r.a, r.b) for r in QUERIES["skeleton_lines"](spark, sf_dir).collect()} == sequence(edges, 8.0)
+
+
+def test_packed_words_thin_and_prune_like_cells(spark):
+    a = shape(3)
+    a[4:30:3, 20] = True
+    for second in (False, True):
+        bits = np.pad(a, ((0, 128 - len(a)), (0, 0)))
+        words = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64).T
+        got = np.unpackbits(np.ascontiguousarray(skeleton.thin_words(words, second).T).view(np.uint8), axis=1, bitorder="little").T.astype(bool)
+        assert (got == skeleton.thin_once(np.pad(bits, 1), second)[1:-1, 1:-1]).all()
+    y, x = np.nonzero(a)
+    df = spark.createDataFrame([(int(i) - 40, int(j) - 20) for i, j in zip(x, y, strict=True)], "x long, y long")
+    words = skeleton.packed(df.unionByName(df))
+    # A raster travels as words: as many rows as columns have words, however many cells they hold and however often.
+    assert words.count() == len({(i, (j - 20) // 64) for i, j in zip(x, y, strict=True)}) < len(x) / 4
+    thin = skeleton.thinned_words(words, 16, 4)
+    edges = [tuple(r) for r in skeleton.cell_graph(skeleton.unpacked(thin)).collect()]
+    for longest in (3.0, 8.0):
+        wanted = sequence(edges, longest)
+        assert len(wanted) < len(edges)
+        for tile, rounds in ((16, 1), (64, 3)):
+            left = skeleton.word_graph(skeleton.pruned_words(thin, longest, tile, rounds), tile).collect()
+            assert {(min(r.a, r.b), max(r.a, r.b)) for r in left} == wanted and len(left) == len(wanted)
