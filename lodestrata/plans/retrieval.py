@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import graph, joins, retrieval
+from ..operators import graph, joins, retrieval, runs
 from ..sources.shared import materialize
 from ..sources.tables import load
 from .registry import query
@@ -127,11 +127,10 @@ _RUNS = "list_distinct(list_transform(generate_series(1, len(w) - {k}), lambda i
 @query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), g AS (SELECT doc_id, unnest({_RUNS.format(k=7)}) AS run FROM d WHERE len(w) >= 8),
 f AS (SELECT run, min(doc_id) AS first FROM g GROUP BY run) SELECT doc_id, count(*) AS runs, count(*) FILTER (WHERE first < doc_id) AS known, count(*) FILTER (WHERE first < doc_id) > 0.2 * count(*) AS suppressed FROM g JOIN f USING (run) GROUP BY doc_id""")
 def passage_suppression(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", tx.plain_words(F.col("text")).alias("w"))
-    # Written once, so that texts are read and hashed once; the smallest holder stands for a run.
-    g = materialize(tx.shingle_hashes(d, ["doc_id"], "w", 8, "h"), "runs")
-    f = g.groupBy("h").agg(F.min("doc_id").alias("first"))
-    return g.join(f, "h").groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("first") < F.col("doc_id")).alias("known")).withColumn("suppressed", F.col("known") > 0.2 * F.col("runs"))
+    docs = load(spark, sf, "documents")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sets = tx.shingle_sets(docs.select("doc_id", tx.plain_words(F.col("text")).alias("w")), ["doc_id"], "w", 8, "h")
+    return runs.shared_runs(sets, size).withColumn("suppressed", F.col("known") > 0.2 * F.col("runs"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), g AS (SELECT doc_id, unnest({_RUNS.format(k=11)}) AS run FROM d WHERE len(w) >= 12),
