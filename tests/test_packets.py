@@ -1,5 +1,7 @@
 """Samples of records: round trips, every layout, damage, and segments."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,22 @@ def test_a_damaged_record_tells_its_problem(spark):
     rows = spark.createDataFrame([("f", content), ("short", bytearray(b"x"))], "path string, content binary")
     found = packets.decoded_records(rows).orderBy("start").collect()
     assert [r.problem for r in found][:1] == ["last sample differs"] and all(r.problem is None for r in found[1:]) and found[0].samples is None
+
+
+def test_few_samples_unpack_like_many(monkeypatch):
+    rng = np.random.default_rng(8)
+    for encoding in (packets.STEIM1, packets.STEIM2):
+        for n in (1, 2, 5, 60):
+            x = rng.integers(-(1 << int(rng.integers(2, 27))), 1 << 27, n).cumsum() // 8 if n > 5 else rng.integers(-300, 300, n)
+            data, held = packets.pack(x, int(x[0]), 7, encoding)
+            data = data.ljust(448, b"\0")
+            few = packets.unpack_few(data, held, encoding, ">").tolist()
+            monkeypatch.setattr(packets, "FEW", -1)
+            assert few == packets.unpack(data, held, encoding, ">").tolist() == x[:held].tolist()
+            monkeypatch.undo()
+    # A long series costs a record's share at each record, not all that is left of it.
+    long = np.zeros(4_000_000, np.int64)
+    start = time.perf_counter()
+    for at in range(0, 100_000, 1000):
+        packets.pack(long[at:], 0, 7, packets.STEIM2)
+    assert time.perf_counter() - start < 5
