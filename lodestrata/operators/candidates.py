@@ -8,11 +8,17 @@ Nearness is measured in characters between the places of two names in one passag
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import spread
 from ..sources.shared import materialize
+from ..sources.shipping import ship
 
 #: Characters between a site's name and an instrument's, and how far a range of codes may reach.
 NEAR = 300
@@ -20,7 +26,8 @@ RANGE_LENGTH = 5
 #: Which kind of hit a link keeps of a passage that makes it in several ways.
 KINDS = ("named", "range", "designator", "system", "described", "feature")
 DASH = "[-‐‑‒–—]"
-PIECE = "[A-Za-z0-9]+|[^A-Za-z0-9]+"
+#: Names up to this many travel to every task; their words are a few megabytes.
+BROADCAST_ROWS = 100_000
 DESIGNATOR = r"(?<![A-Za-z0-9_])((?:RS|CE)[0-9]{2}[A-Z0-9]{4}-?[A-Z0-9]{5}-(?:[0-9]{2}-)?[A-Z0-9]{9})(?![A-Za-z0-9_])"
 
 
@@ -29,18 +36,36 @@ def name_hits(passages: DataFrame, names: DataFrame, keep: list[str]) -> DataFra
 
     ``passages`` has ``keep`` (a key of the passage) and text; ``names`` has name and phrase. Letters count as they are.
     """
-    pieces = F.regexp_extract_all("text", F.lit(f"({PIECE})"), 1)
-    cut = passages.select(*keep, F.transform(pieces, lambda p, i: F.struct(i.alias("at"), p.alias("word"))).alias("pieces"))
-    words = spread(cut, keep, F.col("pieces"), "piece").select(*keep, "piece.at", "piece.word").where(F.col("word").rlike("^[A-Za-z0-9]"))
     wanted = names.select("name", F.regexp_extract_all("phrase", F.lit("([A-Za-z0-9]+)"), 1).alias("words")).where(F.size("words") > 0).distinct()
-    wanted = wanted.withColumn("word", F.get("words", F.lit(0)))
-    found = words.join(wanted, "word").groupBy(*keep).agg(F.collect_list(F.struct("at", "name", "words")).alias("found"))
-    both = passages.select(*keep, pieces.alias("pieces")).join(found, keep)
-    own = F.slice("pieces", F.col("one.at") + 1, 2 * F.size("one.words") - 1)
-    said = F.filter(own, lambda p, i: i % 2 == 0)
-    start = F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("one.at")), ""))
-    rows = spread(both, [*keep, "pieces"], F.col("found"), "one").where(said == F.col("one.words"))
-    return rows.select(*keep, F.col("one.name").alias("name"), start.alias("start"), (start + F.length(F.array_join(own, ""))).alias("end"))
+    wanted = materialize(wanted.withColumn("word", F.get("words", F.lit(0))), "wanted")
+    rows, longest = wanted.agg(F.count(F.lit(1)), F.max(F.size("words"))).first()
+    # Only words that open a name leave the text, with as many after them as the longest name has; of very many names every word does.
+    opening = {r.word for r in wanted.select("word").distinct().collect()} if rows <= BROADCAST_ROWS else None
+    ship(passages.sparkSession)
+    longest = longest or 0
+    word = re.compile("[A-Za-z0-9]+")
+
+    def openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, first, start, said, ends = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                found = [(m.group(), m.start(), m.end()) for m in word.finditer(text or "")]
+                for k, (w, at, _) in enumerate(found):
+                    if opening is None or w in opening:
+                        own = found[k : k + longest]
+                        row.append(i)
+                        first.append(w)
+                        start.append(at)
+                        said.append([o[0] for o in own])
+                        ends.append([o[2] for o in own])
+            columns = [*(batch.column(c).take(pa.array(row, pa.int64())) for c in keep), pa.array(first, pa.string()), pa.array(start, pa.int32()), pa.array(said, pa.list_(pa.string())), pa.array(ends, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "word", "start", "said", "ends"])
+
+    schema = StructType([*(passages.schema[c] for c in keep), *StructType.fromDDL("word string, start int, said array<string>, ends array<int>")])
+    words = passages.select(*keep, "text").mapInArrow(openings, schema)
+    found = words.join(F.broadcast(wanted) if opening is not None else wanted, "word")
+    n = F.size("words")
+    return found.where(F.slice("said", F.lit(1), n) == F.col("words")).select(*keep, "name", "start", F.get("ends", n - 1).alias("end"))
 
 
 def code_hits(passages: DataFrame, keep: list[str], shape: str, prefixes: list[str]) -> DataFrame:

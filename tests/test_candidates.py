@@ -57,3 +57,15 @@ def test_systems(spark):
     assert links(spark, ["cabled array BOTPT near Slope Base", "cabled array BOTPT", "BOTPT near Slope Base", "cabled array BOTPT" + " x" * 310 + " Slope Base"]) == [
         (0, "s5", "system", None, 0), (1, "s4", "described", 2, 0), (1, "s5", "described", 2, 0), (3, "s4", "described", 2, 0), (3, "s5", "described", 2, 0),
     ]
+
+
+def test_names_of_a_long_passage_are_found_in_one_pass(spark, monkeypatch):
+    df = spark.createDataFrame([("p", 1, "erth of a stone, " * 5000), ("p", 2, "of"), ("q", 3, None)], "paper string, passage long, text string")
+    names = spark.createDataFrame([("one", "erth"), ("two", "of-a"), ("none", "a of")], "name string, phrase string")
+    wanted = sorted([("one", 17 * i, 17 * i + 4) for i in range(5000)] + [("two", 17 * i + 5, 17 * i + 9) for i in range(5000)])
+    for most in (candidates.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(candidates, "BROADCAST_ROWS", most)
+        found = candidates.name_hits(df, names, KEEP)
+        assert sorted((r.name, r.start, r.end) for r in found.collect()) == wanted
+        # No list of a passage's pieces goes with each hit.
+        assert "pieces" not in found._jdf.queryExecution().executedPlan().toString()
