@@ -48,6 +48,8 @@ from . import common
 MARK = "▁"
 CACHE_BYTES = 32 << 20
 STABLE_BYTES = 12 << 20
+WALKED = 1 << 12
+SHORT = 24
 SLICE_BYTES = 1 << 20
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 INFINITE = float("inf")
@@ -147,23 +149,25 @@ class Transducer:
         self.unknown_cost = 10.0 - min(self.score.values(), default=0.0)
         self.joined = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        # Lexicon: a node for every prefix of a piece; under "" the piece that ends there, if merging can reach it.
+        # Lexicon: a node for every prefix of a piece; under "" the piece that ends there.
         self.lexicon: dict = {}
-        self.left: dict[str, list[tuple[str, float]]] = {}
-        self.right: dict[str, list[tuple[str, float]]] = {}
         for piece in self.ids:
-            if self.unigram or self._edges(piece):
-                node = self.lexicon
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = piece
-        self.stable: dict[str, dict[str, bool]] = {}
+            node = self.lexicon
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
+        # A piece's edges are compiled when it is first met: None before, empty if merging never gives the piece.
+        self.left: dict[str, list[tuple[str, float]] | None] = dict.fromkeys(self.ids)
+        self.right: dict[str, list[tuple[str, float]] | None] = dict.fromkeys(self.ids)
+        self.stable: dict[str, dict[str, bool | str]] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = self.stable_held = 0
+        self.coded: dict[str, bytes] = {}
+        self._forget_walk()
 
-    def _edges(self, piece: str) -> bool:
-        """Compiles a piece's left and right edges from its merges; False if merging never gives the piece."""
+    def _edges(self, piece: str) -> None:
+        """Compiles a piece's left and right edges from its merges; they are empty if merging never gives the piece."""
         score = self.score
         parts = [(c, [(c, -INFINITE)], [(c, -INFINITE)]) for c in piece]
         while len(parts) > 1:
@@ -173,15 +177,23 @@ class Transducer:
                 if s is not None and s > best:
                     best, at = s, i
             if at < 0:
-                return False
+                self.left[piece] = self.right[piece] = []
+                return
             (x, x_left, _), (y, _, y_right) = parts[at : at + 2]
             own = (x + y, -INFINITE)
             parts[at : at + 2] = [(x + y, [own, (x, best), *x_left[1:]], [own, (y, best), *y_right[1:]])]
         self.left[piece], self.right[piece] = parts[0][1], parts[0][2]
-        return True
+
+    def made(self, piece: str) -> bool:
+        """Whether merging can give ``piece``; a character always stands for itself."""
+        if self.left.get(piece, self) is None:
+            self._edges(piece)
+        return self.left.get(piece) != []
 
     def apart(self, last: str, piece: str) -> bool:
         """Whether merging leaves ``last`` and ``piece`` side by side: no two parts at their border join first."""
+        if not (self.made(last) and self.made(piece)):
+            return False
         score = self.score
         near = self.left.get(piece) or [(piece, -INFINITE)]
         for r, r_until in self.right.get(last) or [(last, -INFINITE)]:
@@ -198,10 +210,10 @@ class Transducer:
             s = self.score.get(piece)
             return self.unknown_cost if s is None else -s
         if not last:
-            return 1.0
+            return 1.0 if self.made(piece) else INFINITE
         known = self.stable.get(last)
         if known is None:
-            known = self.stable[last] = {}
+            known = self.stable[last] = {"": last}
         ok = known.get(piece)
         if ok is None:
             ok = known[piece] = self.apart(last, piece)
@@ -224,50 +236,76 @@ class Transducer:
         """Pieces of the path of least weight through ``text`` (already normalised); unknown characters stand alone."""
         return (None if self.unigram else self._only_path(text)) or self._least_path(text)
 
+    def _step(self, node: dict, c: str) -> dict:
+        """The lexicon's node for the longest end of what was read, ``c`` included, that a piece begins with."""
+        while (to := node.get(c)) is None:
+            if node is self.lexicon:
+                return node
+            node = node["shorter"]
+        if "ending" not in to:
+            to["shorter"] = shorter = self.lexicon if node is self.lexicon else self._step(node["shorter"], c)
+            own = to.get("")
+            ending = ((own, len(own)),) if own is not None else ()
+            ending += shorter.get("ending", ())
+            to["ending"] = ending if ending and ending[-1][1] == 1 else (*ending, (c, 1))
+        return to
+
     def _only_path(self, text: str) -> list[str] | None:
-        """The relaxation where at most one state of finite weight reaches each position; None if two do or none reaches the end."""
-        n, lexicon, stable = len(text), self.lexicon, self.stable
-        reached: list[str | None] = [None] * (n + 1)
-        reached[0] = ""
-        for at in range(n):
-            last = reached[at]
-            if last is None:
-                continue
-            known = stable.get(last)
-            if known is None:
-                known = stable[last] = {}
-            node, end = lexicon, at
-            for c in text[at:]:
-                node = node.get(c)
-                end += 1
-                if node is not None:
-                    piece = node.get("")
-                    if piece is None:
-                        if end > at + 1:
-                            continue
-                        piece = c
-                elif end == at + 1:
-                    piece = c
-                else:
-                    break
+        """The relaxation for BPE, where one state of finite weight at most reaches a position; None if none reaches the end.
+
+        Every path of finite weight is the merge result of what it read, so once one reaches a position all other arcs
+        that end there have infinite weight. A position is relaxed from the arcs that end there: what reaches it
+        depends on the text before it alone, and a text goes on where it parts from the one before.
+        """
+        before, nodes, reached = self.walked
+        stable, root = self.stable, self.lexicon
+        end = 0
+        for end, (x, y) in enumerate(zip(before, text, strict=False)):  # noqa: B007
+            if x != y:
+                break
+        else:
+            end = min(len(before), len(text))
+        del nodes[end + 1 :], reached[end + 1 :]
+        node = nodes[end]
+        for c in text[end:]:
+            end += 1
+            to = node.get(c)
+            node = to if to is not None and "ending" in to else self._step(node, c)
+            found = None
+            for piece, size in ((c, 1),) if node is root else node["ending"]:
+                known = reached[end - size]
+                if known is None:
+                    continue
                 ok = known.get(piece)
                 if ok is None:
-                    ok = known[piece] = not last or self.apart(last, piece)
+                    last = known[""]
+                    ok = known[piece] = self.apart(last, piece) if last else self.made(piece)
                     self.stable_held += 100
                 if ok:
-                    if reached[end] is not None:
-                        return None
-                    reached[end] = piece
-                if node is None:
+                    found = piece
                     break
-        out = []
-        while n:
-            piece = reached[n]
-            if piece is None:
-                return None
+            nodes.append(node)
+            if found is None:
+                reached.append(None)
+            else:
+                reached.append(stable.get(found) or stable.setdefault(found, {"": found}))
+        out, at = [], len(text)
+        while at:
+            known = reached[at]
+            if known is None:
+                break
+            piece = known[""]
             out.append(piece)
-            n -= len(piece)
-        return out[::-1]
+            at -= len(piece)
+        if len(text) > WALKED:
+            self._forget_walk()
+        else:
+            self.walked = text, nodes, reached
+        return None if at else out[::-1]
+
+    def _forget_walk(self) -> None:
+        # Of each position: the lexicon's node, and the state's known borders with the piece itself under "".
+        self.walked = "", [self.lexicon], [self.stable.setdefault("", {"": ""})]
 
     def _least_path(self, text: str) -> list[str]:
         n, weight, unigram = len(text), self.weight, self.unigram
@@ -312,12 +350,17 @@ class Transducer:
         return out
 
     def _ids(self, text: str) -> bytes:
-        parts = self.cuts(text)
+        parts = self.cuts(text) if len(text) > SHORT or self.unigram else ()
         if len(parts) > 1:
-            self._learn([part for part in set(parts) if part not in self.words])
+            self._learn(sorted(part for part in set(parts) if part not in self.words))
             return b"".join([self.words[part] for part in parts])
+        pieces = self.shortest_path(text)
+        try:
+            return b"".join([self.coded[piece] for piece in pieces])
+        except KeyError:
+            self.coded.update({p: self.ids[p].to_bytes(4, "little") for p in pieces if p in self.ids})
         out: list[int] = []
-        for piece in self.shortest_path(text):
+        for piece in pieces:
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
@@ -339,12 +382,13 @@ class Transducer:
             self.words, self.older, self.held = {}, self.words, 0
         if self.stable_held > STABLE_BYTES:
             self.stable, self.stable_held = {}, 0
+            self._forget_walk()
         split = []
         for text in texts:
             marked = self.normalise(text) if text else ""
             split.append(RUNS.findall(marked) if self.by_word and marked[:1] == MARK else [marked] if marked else [])
         needed = set().union(*split) if split else set()
-        self._learn([w for w in needed if w not in self.words])
+        self._learn(sorted(w for w in needed if w not in self.words))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

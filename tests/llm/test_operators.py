@@ -474,6 +474,31 @@ def test_borders_agree_with_merging():
         assert machine.apart(a, a) == (merged(a + a) == [a, a])
 
 
+def test_a_position_is_reached_by_one_state_and_texts_share_their_beginnings(monkeypatch):
+    """What lets the walk stop at a position's first state: relaxing every arc finds no second one. And a text walks only what parts it from the one before."""
+    import random
+
+    machine = piece_transducer.Transducer(common.tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    for _ in range(150):
+        text = "▁" + "".join(rng.choice(["th", "e", "ing", "ion", "a", "é", "漢", "123", "ab", "zz", "ST", "."]) for _ in range(rng.randint(1, 9)))
+        ends = [{""}] + [set() for _ in text]
+        for at in range(len(text)):
+            for last in ends[at]:
+                for piece in machine._arcs(text, at):
+                    if machine.weight(last, piece) == 1.0:
+                        ends[at + len(piece)].add(piece)
+        assert all(len(states) == 1 for states in ends[1:])
+        path = machine.shortest_path(text)
+        assert path == machine._least_path(text) and "".join(path) == text and path[-1] in ends[-1]
+    steps = []
+    step = machine._step
+    monkeypatch.setattr(machine, "_step", lambda node, c: steps.append(c) or step(node, c))
+    shared = "▁" + "qzx" * 1000
+    assert machine._only_path(shared + "a") and steps.clear() is None and machine._only_path(shared + "b")
+    assert len(steps) <= 3  # one character, and the shorter ends it has
+
+
 def test_a_path_that_merging_never_gives_falls_back_to_characters(monkeypatch):
     machine = piece_transducer.Transducer(common.tokenizer_path("piece_bpe_32k.model"))
     monkeypatch.setattr(machine, "apart", lambda last, piece: False)
