@@ -55,7 +55,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(common.table(spark, sf_dir, "pages"))
+    return html_text.extract(common.table(spark, sf_dir, "pages"), repeats=True)
 
 
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

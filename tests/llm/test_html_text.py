@@ -155,3 +155,56 @@ def test_awkward_tables(spark):
     found = html_text.extract(df.union(df)).collect()
     assert sorted(r.text for r in found) == [""] * 6 + ["x"] * 4
     assert found[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+
+
+def test_every_page_goes_through_the_array(spark, sf_dir):
+    """Words of articles count too: n_repeated against a count of every run in the whole streams of the given pages, of which every fifth is there three times, with a line of its own."""
+    given = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    more = [given.where("page_id % 5 = 0").selectExpr(f"-page_id - {k}000000 AS page_id", "url", f"concat(html, '<p>copy {k}') AS html") for k in (1, 2)]
+    df = given.union(more[0]).union(more[1])
+    rows = df.collect()
+    by_host = {}
+    for r in rows:
+        by_host.setdefault(html_text.host_of(r.url), []).append(" ".join(html_text.read_page(r.html)[1]))
+    marks = {host: covered_words(streams) for host, streams in by_host.items()}
+    found = {r.page_id: r.n_repeated for r in html_text.extract(df, repeats=True).collect()}
+    assert "n_repeated" in queries.op12_html_text(spark, sf_dir).columns
+    total = 0
+    for r in rows:
+        mask, at, wanted = marks[html_text.host_of(r.url)][" ".join(html_text.read_page(r.html)[1])], 0, 0
+        for rank, block in html_text.blocks(r.html):
+            n = len(block.split(" "))
+            wanted += sum(mask[at : at + n]) if rank == html_text.ARTICLE else 0
+            at += n
+        assert found[r.page_id] == wanted
+        total += wanted
+    assert total > 0
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div class=content"])
+def test_repeated_runs_in_marked_content_are_counted_and_stay(spark, tag):
+    """A passage that many pages share is text of each, and no run is lost for standing in an article."""
+    close = tag.split()[0]
+    pages = [("http://h.org", f"<{tag}><p>page {i} says {i * 7}</p><p>{MENU} {i}</p></{close}><nav>{LEGAL}</nav>") for i in range(5)]
+    pages += [("http://h.org", f"<p>{MENU}</p><p>own words</p>"), ("http://other.org", f"<{tag}>{MENU}</{close}>")]
+    found = {r.page_id: (r.text, r.n_repeated) for r in html_text.extract(frame(spark, pages), repeats=True).collect()}
+    assert [found[i] for i in range(5)] == [(f"page {i} says {i * 7} {MENU} {i}", 10) for i in range(5)]
+    assert found[5] == ("own words", 0) and found[6] == (MENU, 0)
+
+
+def test_copies_in_many_blocks_count_once(spark, monkeypatch):
+    """The same stream in many blocks is one stream; a third different one makes its runs repeated in all blocks."""
+    def pages(kinds):
+        return [("http://h.org", f"<nav>{'x' * (1 + i % kinds)}</nav><div>{MENU}</div>") for i in range(40)]
+
+    for kinds in (2, 3):
+        found = blocks_of(spark, frame(spark, pages(kinds)), 20)
+        assert len(found) == 40 and set(found.values()) == {MENU if kinds == 2 else ""}
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for values in (np.zeros(0, np.uint64), np.sort(rng.integers(0, 2**64, 1000, np.uint64)), np.array([0, 0, 2**64 - 1], np.uint64)):
+        assert html_text.unpack(html_text.pack(values), len(values)).tolist() == values.tolist()
