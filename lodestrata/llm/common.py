@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import fresh_path, materialize, shared_dir  # noqa: F401
-from ..sources.shipping import ship  # noqa: F401
+from ..sources.shipping import give_back, ship, tidy  # noqa: F401
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -22,29 +21,6 @@ def process_cache() -> dict:
     return sys.modules.setdefault("lodestrata_process_cache", types.ModuleType("lodestrata_process_cache")).__dict__
 
 
-def give_back() -> None:
-    """Returns what a finished task has freed to the system: idle workers live on beside the next stage."""
-    import ctypes
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
-def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``run`` for mapInArrow, giving memory back when its rows end."""
-
-    def tidied(batches: Batches) -> Batches:
-        try:
-            yield from run(batches)
-        finally:
-            give_back()
-
-    return tidied
-
-
 def slices(batch: pa.RecordBatch, most: int, column: str = "text", rows: int = 1024) -> Batches:
     """Runs of at most ``rows`` rows and, but for a single longer text, ``most`` bytes of ``column``."""
     import numpy as np

@@ -122,6 +122,17 @@ def test_near_dedup_loses_no_link_in_a_mixed_group(spark, sf_dir):
     assert sorted(got) == sorted(brute_dedup(docs.collect()))
 
 
+def test_near_dedup_is_exact_where_bands_of_hashes_miss(spark, sf_dir):
+    """Eight of ten shingles shared, yet no fingerprint within 4 bits and none of 40 bands of 8 minimum hashes equal (that search lost these links)."""
+    rows = []
+    for i in (554, 1231, 3129, 3405, 10287, 10334, 12048, 13095, 13229, 15083, 16290, 16796):
+        w = [f"w{i}x{k}" for k in range(13)]
+        rows += [(i, " ".join(w)), (100_000 + i, " ".join(["new", *w[1:]])), (200_000 + i, " ".join(["new", *w[1:-1], "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in stage("dedup")(spark, docs, sf_dir).collect()]
+    assert sorted(kept) == sorted(brute_dedup(docs.collect())) == [r[0] for r in rows if r[0] < 100_000]
+
+
 def test_simhash_links_are_candidates(spark):
     """Texts that share their fingerprint's neighbourhood meet even where no band would bring them together."""
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(400))), (2, " ".join(f"w{i}" for i in range(402))), (3, "other words")], "doc_id long, text string")
